@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import compression_classifier
 from .exact_topk import exact_topk
 from .quality_rules import quality_rules
+from .source_mix import mix_sources
 from .url_filter import judge_urls
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -32,10 +34,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select(*keep)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = compression_classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    return compression_classifier.classify(docs, model)
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_topk": op2_exact_topk,
     "op3_quality_rules": op3_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_source_mix": op9_source_mix,
 }
 
 _RULE_VALUES = ", ".join("('{}', '{}', '{}')".format(v, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in URL_RULES)
@@ -70,4 +84,38 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 10""",
+    "op9_source_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+            FROM documents
+        ),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+        o AS (
+            SELECT *, sum(source_size) OVER () AS total, source_size / weight AS ratio,
+                   coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+                   sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+            FROM w
+        ),
+        lv AS (
+            SELECT (1.5::DOUBLE * total - 2.0::DOUBLE * fixed) AS rest, free::DOUBLE AS free FROM o
+            WHERE 2.0::DOUBLE * source_size > weight * ((1.5::DOUBLE * total - 2.0::DOUBLE * fixed) / free::DOUBLE)
+            ORDER BY ratio, source LIMIT 1
+        ),
+        t AS (
+            SELECT source, source_size,
+                   CASE WHEN rest IS NULL OR 2.0::DOUBLE * source_size <= weight * (rest / free) THEN 2.0::DOUBLE * source_size ELSE weight * rest / free END AS target
+            FROM w LEFT JOIN lv ON true
+        ),
+        g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
+        c AS (
+            SELECT d.doc_id, d.size, g.source_size, g.target, g.times, g.target - g.times * g.source_size AS goal,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto,
+                   sum(d.size) OVER (PARTITION BY d.source, d.h) AS words
+            FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+        )
+        SELECT doc_id, size, source_size, target,
+               (size * (times + CASE WHEN upto <= goal OR 2 * upto - words <= 2 * goal THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM c""",
 }
