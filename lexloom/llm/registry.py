@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compression_classifier
+from .byte_bpe import bpe
 from .exact_topk import exact_topk
 from .quality_rules import quality_rules
 from .source_mix import mix_sources
@@ -34,6 +35,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select(*keep)
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, _table(spark, sf_dir, "labels"))
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_topk": op2_exact_topk,
     "op3_quality_rules": op3_quality_rules,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_source_mix": op9_source_mix,
 }
