@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from . import compression_classifier
 from .byte_bpe import bpe
 from .exact_topk import exact_topk
+from .license_scan import scan_licenses
 from .quality_rules import quality_rules
 from .source_mix import mix_sources
+from .suffix_tree_lm import lm_scores
 from .url_filter import judge_urls
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -35,6 +37,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).select(*keep)
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_topk": op2_exact_topk,
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_tree_lm": op4_suffix_tree_lm,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_source_mix": op9_source_mix,
