@@ -11,6 +11,7 @@ from . import compression_classifier
 from .byte_bpe import bpe
 from .exact_topk import exact_topk
 from .license_scan import scan_licenses
+from .ngram_join import near_copies
 from .quality_rules import quality_rules
 from .source_mix import mix_sources
 from .suffix_tree_lm import lm_scores
@@ -61,6 +62,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_topk": op2_exact_topk,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_source_mix": op9_source_mix,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 _RULE_VALUES = ", ".join("('{}', '{}', '{}')".format(v, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in URL_RULES)
