@@ -367,19 +367,19 @@ def load(path: str) -> Ranks:
     return _loaded[key]
 
 
-def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encodes and decodes every whole text by the ranks in the file ``path``.
 
     Returns doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned
-    32-bit integers), decoded_sha256 and, if asked for, ids.  A null text is an
+    32-bit integers), decoded_sha256, ``carry`` columns and, if asked for, ids.  A null text is an
     empty one, of 0 tokens.  Null ids are passed on, repeated rows encoded each,
     other columns ignored; an empty table gives no rows.  The vocabulary, whose
     size is checked, is broadcast; there is no shuffle.
     """
     ranks = load(path)
     shared = bounded_broadcast(df.sparkSession, (ranks, char_classes()), ranks.size() + 0x110000, MAX_VOCABULARY_BYTES)
-    base = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = T.StructType([base.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    base = df.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([base.schema[c] for c in ("doc_id", *carry)]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
@@ -393,7 +393,7 @@ def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", wi
                 small = ids.astype("<u4")
                 one = [hashlib.sha256(small[first[i] : first[i + 1]]).hexdigest() for i in range(c.n)]
                 two = [hashlib.sha256(back[cut[i] : cut[i + 1]]).hexdigest() for i in range(c.n)]
-                cols = [b.column("doc_id").slice(c.first, c.n), pa.array(np.diff(first)), pa.array(one), pa.array(two)]
+                cols = [*(b.column(k).slice(c.first, c.n) for k in ("doc_id", *carry)), pa.array(np.diff(first)), pa.array(one), pa.array(two)]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)

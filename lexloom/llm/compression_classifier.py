@@ -166,3 +166,19 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
     return base.mapInArrow(run, schema)
+
+
+def keep_good(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` whose text scores at least ``threshold``, with all their columns."""
+    shared = bounded_broadcast(df.sparkSession, model, model.size(), 64 << 20)
+    at = df.columns.index(text)
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for b in batches:
+            buf, off = column_bytes(b.column(at))
+            data = buf.tobytes()
+            rows = np.array([scorer.features(data[i:j]) for i, j in itertools.pairwise(off.tolist())]).reshape(-1, 4)
+            yield b.filter(pa.array(scorer.scores(rows) >= threshold))
+
+    return df.mapInArrow(run, df.schema)

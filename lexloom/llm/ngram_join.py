@@ -254,3 +254,22 @@ def near_copies(
     docs = base.select("doc_id", "md5")
     out = docs.join(F.broadcast(hot), "md5").unionByName(docs.join(F.broadcast(hot.select("md5")), "md5", "left_anti").join(per, "md5"))
     return out.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` but one of each near-copy class: that whose id is least (of equal ids one; null ids come last).
+
+    Rows are dropped by a broadcast of their numbers if these are few enough,
+    else by a shuffled join.
+    """
+    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("_row"))
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_copies(rows.select(F.col("_row").alias("doc_id"), F.col(f"`{text}`").alias("text")), gram=options.pop("gram", GRAM), **options)
+    found = written(found.where("n_links > 0 OR n_copies > 1").select(F.col("doc_id").alias("_row"), "class_id"), "near")
+    ids = rows.select("_row", f"`{id_col}`").join(found, "_row")
+    first = ids.groupBy("class_id").agg(F.min(order).alias("first"))
+    stay = first.select(F.col("first._row").alias("_row"))
+    gone = written(found.select("_row").join(stay, "_row", "left_anti"), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "_row", "left_anti").drop("_row")

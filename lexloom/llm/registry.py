@@ -14,6 +14,7 @@ from .license_scan import scan_licenses
 from .ngram_join import near_copies
 from .quality_rules import quality_rules
 from .source_mix import mix_sources
+from .suffix_dedup import suffix_dedup
 from .suffix_tree_lm import lm_scores
 from .url_filter import judge_urls
 
@@ -52,6 +53,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, _table(spark, sf_dir, "labels"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_source_mix": op9_source_mix,
     "op10_ngram_join": op10_ngram_join,

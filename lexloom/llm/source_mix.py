@@ -115,14 +115,41 @@ def mix_sources(
     Only histograms are shuffled, pre-aggregated; joins to per-source rows are
     salted, so that a hot source is spread over many tasks.
     """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    sized = _sized(df, id_col, text, source)
+    out = _with_plan(sized, _plan(sized, weights, share, cap))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``df`` as :func:`mix_sources` takes them, each as often as it says; texts without words are taken as their hash says."""
+    plan = _plan(_sized(df, id_col, text, source), weights, share, cap)
+    rows = df.withColumn("_key", _key(F.col(f"`{source}`").cast("string"))).withColumn("_hash", id_hash(F.col(f"`{id_col}`")))
+    taken = _with_plan(rows, plan, "_key", "_hash")
+    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def _sized(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     sized = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`").cast("string")).alias("size"))
-    sized = written(sized.withColumn("key", key).withColumn("hash", id_hash(F.col("doc_id"))), "sizes")
+    return written(sized.withColumn("key", _key(F.col("source"))).withColumn("hash", id_hash(F.col("doc_id"))), "sizes")
+
+
+def _plan(sized: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
+    """Per source how often each of its documents is taken (``times``) and the bound below which once more, in SALT rows."""
     per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    per = written(per.withColumn("times", times).withColumn("key", key).withColumn("goal", F.col("target") - F.col("times") * F.col("source_size")), "targets")
+    per = per.withColumn("times", times).withColumn("key", _key(F.col("source"))).withColumn("goal", F.col("target") - F.col("times") * F.col("source_size"))
+    per = written(per, "targets")
     bounds = _thresholds(sized.select("key", "hash", "size"), per.select("key", "goal"))
-    plan = per.join(bounds, "key", "left").select(F.col("key"), "source_size", "target", "times", "bound", "also", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    more = F.when(F.col("bound").isNull(), 0).when((F.col("hash") < F.col("bound")) | ((F.col("hash") == F.col("bound")) & F.col("also")), 1).otherwise(0)
-    out = sized.withColumn("salt", (F.col("hash") % SALT).cast("int")).join(plan, ["key", "salt"])
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("times") + more)).alias("taken"))
+    return written(per.join(bounds, "key", "left").select("key", "source_size", "target", "times", "bound", "also"), "plan")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, key: str = "key", hashed: str = "hash") -> DataFrame:
+    """Adds source_size, target and copies to rows; the join is salted."""
+    plan = plan.select(F.col("key").alias("_k"), "source_size", "target", "times", "bound", "also", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
+    more = F.when(F.col("bound").isNull(), 0).when((F.col(hashed) < F.col("bound")) | ((F.col(hashed) == F.col("bound")) & F.col("also")), 1).otherwise(0)
+    out = rows.join(plan, (F.col(key) == F.col("_k")) & ((F.col(hashed) % SALT).cast("int") == F.col("_s")))
+    return out.withColumn("copies", F.col("times") + more)
