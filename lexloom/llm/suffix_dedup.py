@@ -48,14 +48,12 @@ def _names(*cols: np.ndarray) -> tuple[np.ndarray, int]:
     return out, int(new.sum())
 
 
-def suffix_array(s: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
+def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes in order, by the difference cover {1, 2} mod 3.
 
     Triples at the sampled places are sorted and named; the string of names is
-    sorted in the same way, unless all differ or a name already stands for
-    ``depth`` symbols (then suffixes equal in their first ``depth`` symbols
-    stand together, in any order).  The suffixes left are sorted by their
-    first symbol and the rank of the next suffix, and merged in.
+    sorted in the same way, unless all differ.  The suffixes left are sorted by
+    their first symbol and the rank of the next suffix, and merged in.
     """
     n = len(s)
     if n < 3:
@@ -66,8 +64,8 @@ def suffix_array(s: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     name, different = _names(t[sample], t[sample + 1], t[sample + 2])
-    if different < len(sample) and depth > 3:
-        order = suffix_array(name, -(-depth // 3))
+    if different < len(sample):
+        order = suffix_array(name)
     else:
         order = np.argsort(name, kind="stable")
     rank = np.zeros(n + 3, np.int64)
@@ -107,7 +105,7 @@ def repeated_windows(texts: list[bytes], owned: list[int], length: int = LENGTH)
     mine = np.zeros(len(s), bool)
     for f, n, m in zip(first.tolist(), size.tolist(), owned):
         mine[f : f + max(0, min(m, n - length + 1))] = True
-    order = suffix_array(s, length)
+    order = suffix_array(s)
     order = order[mine[order]]
     prefix = prefix_hashes(flat)
     h = span_hashes(flat, order, order + length, prefix)
