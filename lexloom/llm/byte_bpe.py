@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import CHUNK_BYTES, U64, Chunk, chunks, mix, span_hashes
+from .bytetext import U64, Chunk, chunks, mix, span_hashes
 from .store import bounded_broadcast
 
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -386,7 +386,7 @@ def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", wi
     def run(batches):
         ranks, classes = shared.value
         for b in batches:
-            for c in chunks(b.column("text"), CHUNK_BYTES // 2):
+            for c in chunks(b.column("text")):
                 ids, first = encode(ranks, c, classes)
                 back = decode(ranks, ids)
                 cut = np.concatenate([[0], np.cumsum(ranks.off[ids + 1] - ranks.off[ids])])[first]

@@ -18,7 +18,7 @@ GRAM, THRESHOLD, RECALL = 3, 0.5, 0.99
 #: Trees of the forest, and symbols (of 16 bits) of a signature in each.
 TREES, DEPTH = 40, 4
 #: Classes in a block of the verification, and bytes of text in a task of small components.
-BLOCK, TASK_BYTES = 384, 8 << 20
+BLOCK, TASK_BYTES = 384, 4 << 20
 #: Rows of candidates that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Copies from which a text is joined by broadcast are this share of all rows, so there are few such texts.
@@ -140,7 +140,7 @@ def _links_in_block(g: np.ndarray, first: np.ndarray, side: np.ndarray, threshol
     if often.any():
         keep = often[number]
         number, doc = (np.cumsum(often) - 1)[number[keep]], doc[keep]
-        step = 8192
+        step = 4096
         for i in range(0, int(often.sum()), step):
             a, b = np.searchsorted(number, [i, i + step])
             m = np.zeros((n, step), np.float32)

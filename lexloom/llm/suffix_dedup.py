@@ -18,7 +18,7 @@ from .store import written
 #: Bytes of the shortest repeat.
 LENGTH = 400
 #: Bytes of text in a suffix array, and bytes of texts in a numpy pass.
-TASK_BYTES, PASS_BYTES = 1 << 20, 2 << 20
+TASK_BYTES, PASS_BYTES = 1 << 20, 1 << 20
 #: Keys or rows that may be broadcast.
 BROADCAST_ROWS = 2_000_000
 #: Occurrences from which a context is joined by broadcast are this share of all, so there are few such contexts.
