@@ -49,7 +49,8 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.zeros((len(q), len(c)), np.int64)
     if np.abs(q).max() * np.abs(c).max() * q.shape[1] < 2**53:
         return (q @ c.T).astype(np.int64)
-    return (q.astype(object) @ c.T.astype(object)).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    return (whole(q) @ whole(c).T).astype(np.int64)
 
 
 def _merge(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -124,8 +124,8 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source
     """The rows of ``df`` as :func:`mix_sources` takes them, each as often as it says; texts without words are taken as their hash says."""
     plan = _plan(_sized(df, id_col, text, source), weights, share, cap)
     rows = df.withColumn("_key", _key(F.col(f"`{source}`").cast("string"))).withColumn("_hash", id_hash(F.col(f"`{id_col}`")))
-    taken = _with_plan(rows, plan, "_key", "_hash")
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    taken = _with_plan(rows, plan, "_key", "_hash", "_mix_")
+    return taken.where("_mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _key(source: Column) -> Column:
@@ -147,9 +147,9 @@ def _plan(sized: DataFrame, weights: Sequence[int], share: float, cap: float) ->
     return written(per.join(bounds, "key", "left").select("key", "source_size", "target", "times", "bound", "also"), "plan")
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, key: str = "key", hashed: str = "hash") -> DataFrame:
-    """Adds source_size, target and copies to rows; the join is salted."""
-    plan = plan.select(F.col("key").alias("_k"), "source_size", "target", "times", "bound", "also", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
-    more = F.when(F.col("bound").isNull(), 0).when((F.col(hashed) < F.col("bound")) | ((F.col(hashed) == F.col("bound")) & F.col("also")), 1).otherwise(0)
+def _with_plan(rows: DataFrame, plan: DataFrame, key: str = "key", hashed: str = "hash", mark: str = "") -> DataFrame:
+    """Adds source_size, target and copies (after ``mark``) to rows; the join is salted."""
+    plan = plan.select(F.col("key").alias("_k"), F.col("source_size").alias(f"{mark}source_size"), F.col("target").alias(f"{mark}target"), F.col("times").alias("_t"), F.col("bound").alias("_b"), F.col("also").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
+    more = F.when(F.col("_b").isNull(), 0).when((F.col(hashed) < F.col("_b")) | ((F.col(hashed) == F.col("_b")) & F.col("_a")), 1).otherwise(0)
     out = rows.join(plan, (F.col(key) == F.col("_k")) & ((F.col(hashed) % SALT).cast("int") == F.col("_s")))
-    return out.withColumn("copies", F.col("times") + more)
+    return out.withColumn(f"{mark}copies", F.col("_t") + more)
