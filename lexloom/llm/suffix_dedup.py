@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,8 +19,8 @@ from .store import written
 LENGTH = 400
 #: Bytes of text in a suffix array, and bytes of texts in a numpy pass.
 TASK_BYTES, PASS_BYTES = 1 << 20, 1 << 20
-#: Keys or rows that may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Keys or numbers of rows, and bytes of what goes with them, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32 << 20
 #: Occurrences from which a context is joined by broadcast are this share of all, so there are few such contexts.
 HOT_SHARE = 1e-4
 
@@ -212,12 +212,25 @@ def _runs(windows: np.ndarray) -> bytes:
     return np.stack([windows[cut[:-1]], windows[cut[1:] - 1]], 1).astype("<i4").tobytes()
 
 
+def _beside(docs: DataFrame, per: DataFrame, size: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` with what ``per`` has for them, and the other rows.
+
+    Small tables are broadcast.  Of larger ones the numbers of rows are, so that
+    only texts that have something are shuffled; beyond that all are.
+    """
+    n, total = per.agg(F.count("*"), F.coalesce(F.sum(size + 16), F.lit(0))).first()
+    if total <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(per), "row"), docs.join(F.broadcast(per.select("row")), "row", "left_anti")
+    if n <= BROADCAST_ROWS:
+        ids = F.broadcast(per.select("row"))
+        return docs.join(ids, "row", "left_semi").join(per, "row"), docs.join(ids, "row", "left_anti")
+    return docs.join(per, "row"), docs.join(per.select("row"), "row", "left_anti")
+
+
 def _context_bytes(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """(key, c1, c2, n, bytes) of the contexts of ``reps``, cut from their texts."""
     per = reps.groupBy("row").agg(F.collect_list(F.struct("key", "c1", "c2", "lo", "n")).alias("cuts"))
     per = written(per, "cuts")
-    if per.count() <= BROADCAST_ROWS // 10:
-        per = F.broadcast(per)
 
     def run(batches):
         for b in batches:
@@ -232,7 +245,8 @@ def _context_bytes(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                         out["bytes"].append(data[c["lo"] : c["lo"] + c["n"] - 1 + length])
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
 
-    return docs.select("row", "text").join(per, "row").mapInArrow(run, "key long, c1 long, c2 long, n long, bytes binary")
+    some, _ = _beside(docs.select("row", "text"), per, F.size("cuts") * 48)
+    return some.mapInArrow(run, "key long, c1 long, c2 long, n long, bytes binary")
 
 
 def _sorted_runs(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -282,7 +296,7 @@ def _counted_runs(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _spans(docs: DataFrame, length: int) -> DataFrame:
-    """(row, windows): the repeated windows of every text that has some, as pairs of first and last."""
+    """(row, ranges): the covered bytes of every text that has some, as pairs of 64-bit integers."""
     keys = written(_repeated_keys(docs, length), "keys")
     if keys.count() <= BROADCAST_ROWS:
         found = written(_occurrences(docs, length, keys.toArrow().column("key").to_numpy()), "anchors")
@@ -305,7 +319,16 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     settled = written(settled, "settled")
     hot = settled.where(F.col("times") > F.lit(max(1000, HOT_SHARE * found.count())))
     some = found.join(F.broadcast(hot), ["c1", "c2"]).unionByName(found.join(F.broadcast(hot.select("c1", "c2")), ["c1", "c2"], "left_anti").join(settled, ["c1", "c2"]))
-    return written(some.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "runs")).alias("windows")), "spans")
+    per = some.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "runs")).alias("windows"))
+
+    def merge(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                ranges = [_covered(w.as_py(), length).astype("<i8").tobytes() for w in part.column("windows")]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ranges, pa.binary())], names=["row", "ranges"])
+
+    return written(per.mapInArrow(merge, "row long, ranges binary"), "spans")
 
 
 def _covered(windows: list[dict], length: int) -> np.ndarray:
@@ -341,13 +364,15 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     so no task holds an unbounded group.
     """
     spark = df.sparkSession
-    base = df.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in carry if c != "doc_id"], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    names = {f"_carry{i}": c for i, c in enumerate(carry)}
+    if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"} & set(carry):
+        raise ValueError(f"carried columns would clash: {sorted(clash)}")
+    base = df.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`").alias(n) for n, c in names.items()], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     docs = written(base.withColumn("row", F.monotonically_increasing_id()), "docs")
     spans = _spans(docs, length)
-    if spans.count() <= BROADCAST_ROWS // 10:
-        spans = F.broadcast(spans)
-    joined = docs.join(spans, "row", "left").drop("row")
-    keep = [c for c in joined.columns if c not in ("text", "windows")]
+    some, others = _beside(docs, spans, F.length("ranges"))
+    joined = some.unionByName(others, allowMissingColumns=True).drop("row")
+    keep = [c for c in joined.columns if c not in ("text", "ranges")]
     schema = T.StructType([joined.schema[c] for c in keep])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
@@ -359,9 +384,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 size, removed, spans, digest, kept = [], [], [], [], []
-                for value, windows in zip(part.column("text"), part.column("windows")):
+                for value, ranges in zip(part.column("text"), part.column("ranges")):
                     data = value.as_buffer().to_pybytes()
-                    r = _covered(windows.as_py(), length) if windows.is_valid else np.zeros((0, 2), np.int64)
+                    r = np.frombuffer(ranges.as_buffer(), "<i8").reshape(-1, 2) if ranges.is_valid else np.zeros((0, 2), np.int64)
                     if len(r):
                         left, at = [], 0
                         for x, y in r.tolist():
@@ -381,4 +406,4 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
                     cols.append(pa.array(kept, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).withColumnsRenamed(names)
