@@ -20,7 +20,7 @@ TREES, DEPTH = 40, 4
 #: Classes in a block of the verification, and bytes of text in a task of small components.
 BLOCK, TASK_BYTES = 384, 4 << 20
 #: Rows of candidates that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 #: Copies from which a text is joined by broadcast are this share of all rows, so there are few such texts.
 HOT_SHARE = 1e-4
 
