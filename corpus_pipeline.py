@@ -32,8 +32,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of strings that also stand elsewhere; documents of which nothing but white space is left go."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = suffix_dedup(docs, keep_text=True, carry=carry).withColumn("n_chars", F.length("text").cast("long"))
+    others = {c: f"_other{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    left = suffix_dedup(docs.withColumnsRenamed(others), keep_text=True, carry=tuple(others.values())).withColumn("n_chars", F.length("text").cast("long"))
+    left = left.select("doc_id", "text", "n_chars", *[F.col(n).alias(c) for c, n in others.items()])
     return left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
