@@ -24,23 +24,23 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-        "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        ("you may not use this file except " "in compliance with the License. You may " "obtain a copy of the License at"),
+        ("distributed under the License is distributed on " "an AS IS BASIS, WITHOUT WARRANTIES OR " "CONDITIONS OF ANY KIND, either express or " "implied"),
     ],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd": [("Redistribution and use in source and binary " "forms, with or without modification, are permitted " "provided that the following conditions are met")],
     "cc-by-nc-4.0": ["licensed under CC BY-NC 4.0", "Creative Commons Attribution NonCommercial 4.0 International License"],
     "cc-by-sa-4.0": ["licensed under CC BY-SA 4.0", "Creative Commons Attribution ShareAlike 4.0 International License"],
     "cc-by-4.0": ["licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
     "gpl-3.0": [
         "licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        ("This program is free software: you can " "redistribute it and/or modify it under the " "terms of the GNU General Public License " "as published by the Free Software Foundation, " "either version 3 of the License"),
     ],
     "mit": [
         "Released under the MIT License",
         "licensed under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+        ("Permission is hereby granted, free of charge, " "to any person obtaining a copy of " "this software and associated documentation files, to " "deal in the Software without restriction, including " "without limitation the rights to use, copy, " "modify, merge, publish, distribute, sublicense, and/or sell " "copies of the Software"),
     ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "mpl-2.0": [("This Source Code Form is subject to " "the terms of the Mozilla Public License, " "v. 2.0")],
 }
 
 

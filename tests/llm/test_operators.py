@@ -63,7 +63,7 @@ def words_of(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
 
 
-# ---------------------------------------------------------------- URL filter
+# -- URL filter
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "org/pre"), ("allow", "same.io/"), ("block", "same.io/")]
 
@@ -99,7 +99,7 @@ def test_url_filter(spark):
     assert Trie([]).match("a.com", "/") is None
 
 
-# ---------------------------------------------------------------- top k
+# -- top k
 
 
 def test_exact_topk(spark):
@@ -118,7 +118,7 @@ def test_exact_topk(spark):
     assert [tuple(r) for r in exact_topk(big, big.where("vec_id = 1"), scale=1.0).collect()] == [(1, 1, 0, 10**17 + 3)]
 
 
-# ---------------------------------------------------------------- quality rules
+# -- quality rules
 
 
 def brute_rules(text):
@@ -146,7 +146,7 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).collect() == []
 
 
-# ---------------------------------------------------------------- language model
+# -- language model
 
 
 def test_suffix_tree_lm(docs, none, spark):
@@ -198,7 +198,7 @@ def test_suffix_tree_states():
     assert np.allclose(tree.score(sym, start), total)
 
 
-# ---------------------------------------------------------------- licenses
+# -- licenses
 
 
 def test_license_scan(docs, none):
@@ -211,7 +211,7 @@ def test_license_scan(docs, none):
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=repr) == sorted(want, key=repr)
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
     assert scan_licenses(none).collect() == []
-    texts = ["x Released under the MIT License. y", "Released under the new MIT License", "the MIT", "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish"]
+    texts = ["x Released under the MIT License. y", "Released under the new MIT License", "the MIT", ("Permission is hereby granted, free of charge, " "to any person getting a copy of " "this software and associated documentation files, to " "deal in the Software without restriction, including " "without limitation the rights to use, copy, " "modify, merge, publish")]
     df = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.labels for r in scan_licenses(df).orderBy("doc_id").collect()] == ["mit", "", "", "mit"]
 
@@ -229,7 +229,7 @@ def test_automaton_matches():
             assert set(a.ends[v]) == {(k, i + l) for k, s in enumerate(seqs) for i in range(len(s) - l + 1) if s[i : i + l] == run[e - l : e]}
 
 
-# ---------------------------------------------------------------- byte-level BPE
+# -- byte-level BPE
 
 
 def test_byte_bpe(docs, none):
@@ -254,7 +254,7 @@ def test_byte_bpe(docs, none):
         assert [ids[first[i] : first[i + 1]].tolist() for i in range(c.n)] == [enc.encode_ordinary(t) for t in texts[c.first : c.first + c.n]]
 
 
-# ---------------------------------------------------------------- repeats
+# -- repeats
 
 
 def brute_repeats(rows, n):
@@ -287,7 +287,7 @@ def test_suffix_array():
             assert suffix_dedup.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(n), key=lambda i: s[i:])
 
 
-# ---------------------------------------------------------------- classifier
+# -- classifier
 
 
 def test_quality_classifier(spark, none):
@@ -310,7 +310,7 @@ def test_quality_classifier(spark, none):
     assert cc.keep_good(df, model).count() == sum(r.predicted for r in got)
 
 
-# ---------------------------------------------------------------- mix
+# -- mix
 
 
 def brute_mix(rows):
@@ -352,7 +352,7 @@ def test_source_mix(docs, none):
     assert source_mix.mixed_rows(docs).columns == docs.columns
 
 
-# ---------------------------------------------------------------- near copies
+# -- near copies
 
 
 def brute_near(rows, n, threshold):
@@ -415,7 +415,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-# ---------------------------------------------------------------- pipeline
+# -- pipeline
 
 
 def test_pipeline(spark, tmp_path):
