@@ -119,7 +119,7 @@ def default_segmenter() -> Segmenter:
     return Segmenter()
 
 
-# ---------------------------------------------------------------- model files
+# -- model files
 
 FNV_BASIS, FNV_PRIME, _MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
 _HEAD, _ENTRY = struct.Struct("<4sHHfIQ"), struct.Struct("<Qf")

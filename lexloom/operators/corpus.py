@@ -86,7 +86,7 @@ class Corpus:
         self.postings().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64))).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
         self.docs().write.parquet(f"{path}/docs")
 
-    # ------------------------------------------------------------ BM25
+    # -- BM25
 
     def bm25(self, query: str) -> DataFrame:
         """(doc_id, score) of every document, 0 without a match, for the distinct tokens of a text."""

@@ -34,7 +34,7 @@ def _r(col, name: str):
     return F.round(col, 6).alias(name)
 
 
-# ---------------------------------------------------------------- SQL pieces
+# -- SQL pieces
 
 _LIT = lambda s: "'" + s.replace("'", "''") + "'"
 _AL = r"\p{L}\p{N}"
@@ -82,7 +82,7 @@ def _sql_fnv(text: str) -> str:
     return f"lower(lpad(hex(list_reduce(list_concat([14695981039346656037::HUGEINT], {data}), lambda h, b: {step})::UBIGINT), 16, '0'))"
 
 
-# ---------------------------------------------------------------- queries and their SQL
+# -- queries and their SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
