@@ -29,7 +29,7 @@ from lexloom.operators import training as M
         ("猫です", ["猫", "です"]),
         ("実施した結果", ["実施", "した", "結果"]),
         ("昨日は雨が降りました", "昨日 は 雨 が 降りました".split()),
-        ("これはバグだろ！", ["これ", "は", "バグ", "だろ"]),
+        ("これはバグだろ！", "これ は バグ だろ".split()),
         ("無理だろw", ["無理", "だろ", "w"]),
         ("幸いです", ["幸いです"]),
         ("ア・イ", ["ア", "・", "イ"]),
