@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import GRAM, SPACED, Chunk, char_table, chunks, gram_hashes, inside_one, mix, span_hashes, sums
+from .store import small_batches
 
 #: Most characters (as a share of those in words) that may stand inside n-grams of so many words that occurred before in the text.
 GRAM_LIMITS = {3: 0.5, 4: 0.4, 5: 0.15, 6: 0.15, 7: 0.15, 8: 0.15, 9: 0.15, 10: 0.15}
@@ -126,6 +127,7 @@ def quality_rules(
     grams = dict(GRAM_LIMITS if gram_limits is None else gram_limits)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     shares = {"line_share": "dup_line_chars"} | {f"gram_share_{n}": f"gram_chars_{n}" for n in grams}
+    small_batches(df.sparkSession)
     base = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = T.StructType([base.schema["doc_id"]])
     for c in counts:

@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Most rows and bytes that the JVM sends to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches, so that texts of any length fit in a worker's memory."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, most)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, so a lost executor costs no rerun of what came before."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -41,6 +53,7 @@ def drop(df: DataFrame) -> None:
 
 def bounded_broadcast(spark: SparkSession, value, size: int, most: int):
     """Broadcasts ``value`` after a check that its ``size`` in bytes is at most ``most``."""
+    small_batches(spark)
     if size > most:
         raise ValueError(f"{size} bytes are too many to broadcast (at most {most})")
     return spark.sparkContext.broadcast(value)

@@ -17,8 +17,8 @@ from .store import written
 
 #: Bytes of the shortest repeat.
 LENGTH = 400
-#: Bytes of text in a suffix array, and bytes of texts in a numpy pass.
-TASK_BYTES, PASS_BYTES = 1 << 20, 1 << 20
+#: Most bytes of contexts of a key in a suffix array; bytes in an array of several keys; bytes of texts in a numpy pass.
+TASK_BYTES, ARRAY_BYTES, PASS_BYTES = 1 << 20, 1 << 18, 1 << 20
 #: Keys or numbers of rows, and bytes of what goes with them, that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32 << 20
 #: Occurrences from which a context is joined by broadcast are this share of all, so there are few such contexts.
@@ -27,7 +27,7 @@ HOT_SHARE = 1e-4
 _BYTE2 = np.random.default_rng(424242).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
 
-# ---------------------------------------------------------------- suffix arrays
+# -- suffix arrays
 
 
 def _names(*cols: np.ndarray) -> tuple[np.ndarray, int]:
@@ -116,7 +116,7 @@ def repeated_windows(texts: list[bytes], owned: list[int], length: int = LENGTH)
     return [np.flatnonzero(hit[f : f + m]) for f, m in zip(first.tolist(), owned)]
 
 
-# ---------------------------------------------------------------- anchors
+# -- anchors
 
 
 def anchors(chunk: Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def _repeated_keys(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
 
 
-# ---------------------------------------------------------------- contexts
+# -- contexts
 
 
 _RUNS = "c1 long, c2 long, runs binary"
@@ -255,7 +255,7 @@ def _sorted_runs(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["c1", "c2"]).sort_values("key", kind="stable")
         size = rows["bytes"].map(len).to_numpy()
-        group = np.cumsum(size) // TASK_BYTES
+        group = np.cumsum(size) // min(ARRAY_BYTES, TASK_BYTES)
         key = rows["key"].to_numpy()
         for i in range(1, len(group)):  # a key isn't split
             if key[i] == key[i - 1]:
