@@ -19,6 +19,8 @@ GRAM, THRESHOLD, RECALL = 3, 0.5, 0.99
 TREES, DEPTH = 40, 4
 #: Classes in a block of the verification, and bytes of text in a task of small components.
 BLOCK, TASK_BYTES = 384, 4 << 20
+#: Classes in a task that holds the classes of small nodes against each other.
+TASK_CLASSES = 8192
 #: Rows of candidates that may be broadcast.
 BROADCAST_ROWS = 300_000
 #: Copies from which a text is joined by broadcast are this share of all rows, so there are few such texts.
@@ -97,18 +99,23 @@ def _classes(base: DataFrame, gram: int) -> DataFrame:
     return written(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
 
-def _candidate_edges(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """Edges (a, b) from each node of the forest's tries with several classes: its centre and each of the others.
+def _candidates(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """(node, label): the component of every class that has candidates.
 
-    The centre differs from tree to tree.  An edge whose signatures agree in
-    fewer steps than half the threshold's share is dropped: a pair at the
-    threshold is that far off its expectation with a chance below 1e-9.
+    Two classes that share a node of the forest's tries are candidates if their
+    signatures agree in at least half the threshold's share of steps: a pair at
+    the threshold is that far off its expectation with a chance below 1e-9.
+    First each class of a node is held against the node's centre, which differs
+    from tree to tree.  A class unlike the centre may still be like others of
+    the node, so in nodes whose classes aren't connected by then all pairs of
+    different components are held against each other, in pairs of blocks.
     """
     sig = classes.select("cls", "labels").where(F.size("labels") > 0)
     node = F.xxhash64(F.col("tree"), F.shiftrightunsigned("label", 16 * (DEPTH - depth)))
     steps = sig.select("cls", F.posexplode("labels").alias("tree", "label")).select("cls", node.alias("node"), F.xxhash64("tree", "cls").alias("turn"))
-    centres = steps.groupBy("node").agg(F.min(F.struct("turn", "cls")).alias("c"), F.count("*").alias("n")).where("n > 1").select("node", F.col("c.cls").alias("centre"))
-    edges = steps.join(centres, "node").where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
+    centres = steps.groupBy("node").agg(F.min(F.struct("turn", "cls")).alias("c"), F.count("*").alias("n")).where("n > 1").select("node", F.col("c.cls").alias("centre"), "n")
+    members = written(steps.join(centres, "node").select("node", "n", "cls", "centre"), "members")
+    edges = members.where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
     joined = edges.join(sig.select(F.col("cls").alias("a"), F.col("labels").alias("x")), "a").join(sig.select(F.col("cls").alias("b"), F.col("labels").alias("y")), "b")
 
     def run(batches):
@@ -117,7 +124,52 @@ def _candidate_edges(classes: DataFrame, threshold: float, depth: int) -> DataFr
             keep = pa.array(_same_steps(x, y) >= threshold / 2)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    comps = written(components(joined.mapInArrow(run, "a long, b long")), "components")
+    more = components(_edges_across(members, comps, sig, threshold))
+    grown = comps.join(more.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return grown.unionByName(more.join(comps.select("node"), "node", "left_anti").select("node", "label"))
+
+
+def _edges_across(members: DataFrame, comps: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) between components of which a node has candidates of each, from (node, n, cls, centre).
+
+    A component's number is its label, or the class if it is in none.  Nodes of
+    the same classes are looked at once.  Two classes are a centre and another.
+    """
+    label = F.coalesce("label", "cls").alias("label")
+    rows = members.where("n > 2").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "n", "cls", label)
+    h = F.xxhash64("cls")
+    apart = rows.groupBy("node", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).where("lo <> hi")
+    one = apart.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
+    rows = written(rows.join(one, "node"), "apart")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    tasks = 1 + rows.count() // TASK_CLASSES
+    small = rows.where(F.col("n") <= BLOCK).select(F.pmod(F.xxhash64("node"), F.lit(tasks)).alias("tile"), "node", "cls", "label", F.lit(2).alias("side"))
+    tiles = (
+        rows.where(F.col("n") > BLOCK).select("node", "cls", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "node", "cls", "label", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    )
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("node")
+        nodes, comp, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+        steps = np.asarray(t.column("labels").combine_chunks().flatten()).view(np.uint16).reshape(t.num_rows, TREES * DEPTH)
+        cut = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1], [True]]))
+        out = np.zeros((0, 2), np.int64)
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            for k in range(s, e):
+                to = np.arange(k + 1, e)
+                to = to[(comp[to] != comp[k]) & ((side[k] == 2) | (side[to] != side[k]))]
+                to = to[(steps[to] == steps[k]).sum(1) >= threshold / 2 * steps.shape[1]]
+                if len(to):
+                    out = np.concatenate([out, np.stack([np.full(len(to), comp[k]), comp[to]], 1)])
+            if len(out) > BLOCK:
+                out = np.unique(np.sort(out, 1), axis=0)
+        out = np.unique(np.sort(out, 1), axis=0)
+        return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+
+    return small.unionAll(tiles).join(sig, "cls").groupBy("tile").applyInArrow(run, "a long, b long")
 
 
 def _links_in_block(g: np.ndarray, first: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -216,16 +268,16 @@ def near_copies(
     are ignored; an empty table gives no rows.
 
     Candidates: a forest of TREES tries over MinHash signatures, matched by the
-    longest prefix that gives ``recall`` at the threshold.  The classes of a
-    node are tied to one centre, not pair by pair; connected candidates are a
-    component.  Verification: all pairs of a component, exactly, by products
+    longest prefix that gives ``recall`` at the threshold.  Each two classes of
+    a node are connected, or their signatures show them to be apart; connected
+    candidates are a component.  Verification: all pairs of a component, exactly, by products
     of incidence matrices of blocks of at most BLOCK texts, so that a link
     between candidates is never lost and no task holds more than two blocks.
     """
     spark = df.sparkSession
     base = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("md5", F.md5("text"))
     classes = _classes(base, gram)
-    comps = written(components(_candidate_edges(classes, threshold, depth_for(threshold, recall))), "components")
+    comps = written(_candidates(classes, threshold, depth_for(threshold, recall)), "candidates")
     sized = comps.join(comps.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("node").alias("cls"), F.col("label").alias("comp"), "size")
     wanted = written(sized.join(classes.select("cls", "md5", "copy_id", "bytes"), "cls"), "wanted")
     n, total = wanted.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()

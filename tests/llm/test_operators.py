@@ -402,6 +402,16 @@ def test_one_of_each(docs):
     assert set(ids) - {None} == want and sum(i is not None for i in ids) == len(want)
 
 
+def test_passage_shared_by_dissimilar_texts(spark):
+    """A pair is found though the nodes it shares hold many texts that have only a passage in common with it."""
+    words = (f"w1276x{i}" for i in itertools.count())
+    some = lambda n: " ".join(itertools.islice(words, n))
+    passage = some(32)
+    rows = [(i, f"{passage} {some(15 if i < 2 else 160)}") for i in range(302)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 1) if i < 2 else (i, 0) for i, _ in rows}
+
+
 def test_depth_shortens():
     assert ngram_join.depth_for(0.9, 0.99) == 4
     assert ngram_join.depth_for(0.5, 0.99) == 3
