@@ -349,7 +349,7 @@ def textrank_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def textrank_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.textrank_large(_t(spark, sf_dir, "benchmark"), 4, 20, rounds=10).select("keyword", _r(F.col("score"), "score"), "count")
+    return K.textrank_large(_docs(spark, sf_dir), 4, 20).select("keyword", _r(F.col("score"), "score"), "count")
 
 
 def _diff_sql(table: str, side_a: str, side_b: str, top_n: int) -> str:

@@ -113,6 +113,18 @@ def test_textrank(spark):
     assert all(math.isclose(large[k], by[0][k][0], abs_tol=1e-5) for k in large)
 
 
+def test_textrank_query_settles(spark, tmp_path):
+    from lexloom import queries
+
+    names = ["river", "stone", "bridge", "forest", "valley", "meadow", "harbor", "castle", "garden", "window", "ladder", "bottle", "candle", "mirror", "pencil", "saddle"]
+    text = " ".join(w for i in range(0, 16, 4) for w in names[i : i + 5] * (i + 1))
+    for table in ("documents", "benchmark"):
+        spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/{table}.parquet")
+    want = {k: s for k, s, _ in K.rank_words(text.split(), 4)}
+    got = {r.keyword: r.score for r in queries.textrank_large(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+
+
 def test_similarity(spark):
     pairs = spark.createDataFrame([(0, "hello world", "hello world"), (1, "", None), (2, "hello", ""), (3, "hello world", "hello there")], "n int, a string, b string")
     assert [round(r.score, 6) for r in S.jaccard_pairs(pairs).orderBy("n").collect()] == [1.0, 1.0, 0.0, 0.294118]
