@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 GRAM = U64(0x9FB21C651E98DF25)
 
 _P = 0x9E3779B97F4A7C15 | 1

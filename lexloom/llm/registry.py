@@ -14,7 +14,7 @@ from .license_scan import scan_licenses
 from .ngram_join import near_copies
 from .quality_rules import quality_rules
 from .source_mix import mix_sources
-from .suffix_dedup import suffix_dedup
+from .suffix_dedup import PASSAGE, suffix_dedup
 from .suffix_tree_lm import lm_scores
 from .url_filter import judge_urls
 
@@ -54,7 +54,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"))
+    return suffix_dedup(_table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,21 +12,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext
-from .bytetext import U64, Chunk, chunks, mix, prefix_hashes, span_hashes
-from .store import written
+from .bytetext import SPACED, U64, Chunk, chunks, mix
+from .store import drop, freed, trim, written
 
-#: Bytes of the shortest repeat.
-LENGTH = 400
-#: Most bytes of contexts of a key in a suffix array; bytes in an array of several keys; bytes of texts in a numpy pass.
-TASK_BYTES, ARRAY_BYTES, PASS_BYTES = 1 << 20, 1 << 18, 1 << 20
+#: Bytes of the shortest repeat; words of the shortest passage: over 50, less the two at its ends, which may be joined to their neighbours' text.
+LENGTH, PASSAGE = 400, 49
+#: Most bytes of contexts of a key in a suffix array; bytes in an array of several keys.
+TASK_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
 #: Keys or numbers of rows, and bytes of what goes with them, that may be broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 #: Occurrences from which a context is joined by broadcast are this share of all, so there are few such contexts.
 HOT_SHARE = 1e-4
 
 _BYTE2 = np.random.default_rng(424242).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
 
+# -- symbols
+
+
+class Symbols:
+    """The symbols of a chunk: 64-bit values, their places per text, and the bytes each covers.
+
+    In unit ``bytes`` every byte is a symbol; in unit ``words`` every word
+    between ASCII white space, named by its hash.
+    """
+
+    def __init__(self, chunk: Chunk, unit: str):
+        self.chunk, self.unit = chunk, unit
+        if unit == "bytes":
+            self.off, self.starts, self.ends = chunk.off, None, None
+            self.values, self.other = bytetext._BYTE[chunk.buf], _BYTE2[chunk.buf]
+        elif unit == "words":
+            w = chunk.words(SPACED)
+            self.off, self.starts, self.ends = w.first, w.starts, w.ends
+            self.values = w.hashes()
+            self.other = mix(self.values + U64(0x2545F4914F6CDD1D))
+        else:
+            raise ValueError(f"unknown unit {unit!r}")
+        self.prefix, self.prefix2 = _prefix(self.values), _prefix(self.other)
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _span(self.prefix, a, b)
+
+    def second(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _span(self.prefix2, a, b)
+
+    def cut(self, i: int, lo: int, n: int) -> bytes:
+        """``n`` symbols of text ``i`` from ``lo``, as they go into a suffix array."""
+        at = int(self.off[i]) + lo
+        return (self.chunk.buf if self.unit == "bytes" else self.values)[at : at + n].tobytes()
+
+    def bytes_of(self, i: int, ranges: np.ndarray) -> np.ndarray:
+        """Ranges of symbols of text ``i`` as ranges of its bytes."""
+        if self.unit == "bytes" or not len(ranges):
+            return ranges
+        at = ranges + self.off[i]
+        return np.stack([self.starts[at[:, 0]], self.ends[at[:, 1] - 1]], 1) - self.chunk.off[i]
+
+
+_DTYPE = {"bytes": np.dtype(np.uint8), "words": np.dtype(np.uint64)}
+
+
+def _prefix(values: np.ndarray) -> np.ndarray:
+    bytetext._powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * bytetext._pow[: len(values)], out=out[1:])
+    return out
+
+
+def _span(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of spans of symbols, equal for equal ones wherever they stand."""
+    return mix(((prefix[b] - prefix[a]) * bytetext._inv[a]) ^ ((b - a).astype(np.uint64) * U64(0xD6E8FEB86659FD93)))
+
+
 # -- suffix arrays
 
 
@@ -91,25 +149,26 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(texts: list[bytes], owned: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """Of the first ``owned[k]`` windows of each text, those with an equal among the others'.
+def repeated_windows(texts: list[np.ndarray], owned: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """Of the first ``owned[k]`` windows of each sequence, those with an equal among the others'.
 
-    Suffixes of all texts, parted by a symbol of their own, are sorted;
-    neighbours in that order are compared over ``length`` bytes.
+    Suffixes of all sequences, parted by a symbol of their own, are sorted;
+    neighbours in that order are compared over ``length`` symbols, by two
+    64-bit hashes of different bases.
     """
     size = np.array([len(t) for t in texts], np.int64)
     first = np.cumsum(size + 1) - size - 1
-    flat = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-    s = flat.astype(np.int64) + 1
+    flat = np.concatenate([np.append(t, t.dtype.type(0)) for t in texts])
+    s = np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1 if flat.dtype.itemsize > 1 else flat.astype(np.int64) + 1
     s[first + size] = 0
     mine = np.zeros(len(s), bool)
     for f, n, m in zip(first.tolist(), size.tolist(), owned):
         mine[f : f + max(0, min(m, n - length + 1))] = True
     order = suffix_array(s)
     order = order[mine[order]]
-    prefix = prefix_hashes(flat)
-    h = span_hashes(flat, order, order + length, prefix)
-    same = h[1:] == h[:-1]
+    values = mix(s.astype(np.uint64))
+    one, two = (_span(_prefix(v), order, order + length) for v in (values, mix(values)))
+    same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
     hit = np.zeros(len(s), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
@@ -119,83 +178,61 @@ def repeated_windows(texts: list[bytes], owned: list[int], length: int = LENGTH)
 # -- anchors
 
 
-def anchors(chunk: Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(sym: Symbols, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places, first and last windows and hashes of the anchors of a chunk.
 
-    Each window of ``length`` bytes belongs to one anchor: of the strings of
-    half that length that begin in its first half, the leftmost of the least
-    hash.  Equal windows have equal anchors at the same offset, and the windows
-    of an anchor lie side by side.
+    Each window of ``length`` symbols belongs to one anchor: of the strings of
+    a third of that length inside it, the leftmost of the least hash.  Equal
+    windows have equal anchors at the same offset, and the windows of an anchor
+    lie side by side.
     """
-    k = length // 2
+    k = max(1, length // 3)
     w = length - k + 1
-    buf, n = chunk.buf, len(chunk.buf)
+    n = len(sym.values)
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, np.zeros(0, np.uint64)
     starts = np.arange(n - k + 1)
-    h = span_hashes(buf, starts, starts + k)
+    h = sym.hashes(starts, starts + k)
     key = h >> U64(32) << U64(32) | starts.astype(np.uint64)
     pad = -len(key) % w
     x = np.concatenate([key, np.full(pad, ~U64(0))]).reshape(-1, w)
     left = np.minimum.accumulate(x, 1).ravel()[: len(key)]
     right = np.minimum.accumulate(x[:, ::-1], 1)[:, ::-1].ravel()[: len(key)]
-    least = np.minimum(right[: n - length + 1], left[w - 1 : w - 1 + n - length + 1])
-    doc_end = np.repeat(chunk.off[1:], np.diff(chunk.off))[: n - length + 1]
-    window = np.flatnonzero(np.arange(n - length + 1) + length <= doc_end)
-    owner = (least[window] & U64(0xFFFFFFFF)).astype(np.int64)
+    owner = (np.minimum(right[: n - length + 1], left[w - 1 : w - 1 + n - length + 1]) & U64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.zeros(n + 1, np.int32)
+    size = np.diff(sym.off)
+    long = size >= length
+    np.add.at(inside, sym.off[:-1][long], 1)
+    np.add.at(inside, sym.off[1:][long] - length + 1, -1)
+    window = np.flatnonzero(np.cumsum(inside[: n - length + 1]))
+    owner = owner[window]
     if not len(owner):
         return none, none, none, np.zeros(0, np.uint64)
-    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    head = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (window[1:] != window[:-1] + 1)]))
     last = np.append(head[1:], len(owner)) - 1
     place = owner[head]
     return place, window[head], window[last], h[place]
 
 
-def _second_hashes(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    bytetext._powers(len(buf) + 1)
-    p = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE2[buf] * bytetext._pow[: len(buf)], out=p[1:])
-    return mix((p[b] - p[a]) * bytetext._inv[a] + U64(0x5851F42D4C957F2D))
-
-
-def _occurrences(docs: DataFrame, length: int, keys: np.ndarray | None) -> DataFrame:
-    """Anchors (row, key, c1, c2, lo, n, at): c1 and c2 are a hash of the context (the bytes of an anchor's windows and where it stands in them), which begins at lo with n windows."""
-    shared = None if keys is None else docs.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+def _anchored(docs: DataFrame, length: int, unit: str) -> DataFrame:
+    """Anchors (row, key, c1, c2, lo, n): c1 and c2 are hashes of the context (the symbols of an anchor's windows and where it stands in them), which begins at lo with n windows."""
 
     def run(batches):
         for b in batches:
             row = b.column("row").to_numpy()
-            for c in chunks(b.column("text"), PASS_BYTES):
-                place, lo, hi, key = anchors(c, length)
-                if shared is not None and len(key):
-                    at = np.minimum(np.searchsorted(shared.value, key), max(len(shared.value) - 1, 0))
-                    keep = shared.value[at] == key if len(shared.value) else np.zeros(len(key), bool)
-                    place, lo, hi, key = place[keep], lo[keep], hi[keep], key[keep]
-                doc = np.searchsorted(c.off, lo, side="right") - 1
+            for c in chunks(b.column("text")):
+                sym = Symbols(c, unit)
+                place, lo, hi, key = anchors(sym, length)
+                if not len(key):
+                    continue
+                doc = np.searchsorted(sym.off, lo, side="right") - 1
                 shape = mix((place - lo).astype(np.uint64) << U64(32) | (hi - lo).astype(np.uint64))
-                c1 = mix(span_hashes(c.buf, lo, hi + length) ^ shape) if len(lo) else key
-                c2 = _second_hashes(c.buf, lo, hi + length) if len(lo) else key
-                arrays = [row[c.first + doc], key.view(np.int64), c1.view(np.int64), c2.view(np.int64), lo - c.off[doc], hi - lo + 1]
+                c1, c2 = mix(sym.hashes(lo, hi + length) ^ shape), sym.second(lo, hi + length)
+                arrays = [row[c.first + doc], key.view(np.int64), c1.view(np.int64), c2.view(np.int64), lo - sym.off[doc], hi - lo + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)) for a in arrays], names=["row", "key", "c1", "c2", "lo", "n"])
 
-    return docs.select("row", "text").mapInArrow(run, "row long, key long, c1 long, c2 long, lo long, n long")
-
-
-def _repeated_keys(docs: DataFrame, length: int) -> DataFrame:
-    """Keys of anchors that stand at two places or more; each partition sends each key once."""
-
-    def run(batches):
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            for c in chunks(b.column("text"), PASS_BYTES):
-                found.append(np.unique(anchors(c, length)[3], return_counts=True))
-        if found:
-            key, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            n = np.bincount(back, weights=np.concatenate([n for _, n in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int64))], names=["key", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    return docs.select("row", "text").mapInArrow(freed(run), "row long, key long, c1 long, c2 long, lo long, n long")
 
 
 # -- contexts
@@ -227,29 +264,29 @@ def _beside(docs: DataFrame, per: DataFrame, size: Column) -> tuple[DataFrame, D
     return docs.join(per, "row"), docs.join(per.select("row"), "row", "left_anti")
 
 
-def _context_bytes(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
+def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str) -> DataFrame:
     """(key, c1, c2, n, bytes) of the contexts of ``reps``, cut from their texts."""
     per = reps.groupBy("row").agg(F.collect_list(F.struct("key", "c1", "c2", "lo", "n")).alias("cuts"))
     per = written(per, "cuts")
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            cuts = b.column("cuts")
+            for c in chunks(b.column("text")):
+                sym = Symbols(c, unit)
                 out: dict[str, list] = {k: [] for k in ("key", "c1", "c2", "n", "bytes")}
-                for text, cuts in zip(part.column("text"), part.column("cuts")):
-                    data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    for c in cuts.as_py():
+                for i in range(c.n):
+                    for x in cuts[c.first + i].as_py():
                         for k in ("key", "c1", "c2", "n"):
-                            out[k].append(c[k])
-                        out["bytes"].append(data[c["lo"] : c["lo"] + c["n"] - 1 + length])
+                            out[k].append(x[k])
+                        out["bytes"].append(sym.cut(i, x["lo"], x["n"] - 1 + length))
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
 
     some, _ = _beside(docs.select("row", "text"), per, F.size("cuts") * 48)
-    return some.mapInArrow(run, "key long, c1 long, c2 long, n long, bytes binary")
+    return some.mapInArrow(freed(run), "key long, c1 long, c2 long, n long, bytes binary")
 
 
-def _sorted_runs(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
+def _sorted_runs(contexts: DataFrame, length: int, unit: str, buckets: int) -> DataFrame:
     """Repeated windows of contexts, from suffix arrays of buckets of keys."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -263,23 +300,24 @@ def _sorted_runs(contexts: DataFrame, length: int, buckets: int) -> DataFrame:
         out = []
         for g in np.unique(group):
             part = rows[group == g]
-            hits = repeated_windows(part["bytes"].tolist(), part["n"].tolist(), length)
+            hits = repeated_windows([np.frombuffer(x, _DTYPE[unit]) for x in part["bytes"]], part["n"].tolist(), length)
             out.append(pd.DataFrame({"c1": part["c1"].to_numpy(), "c2": part["c2"].to_numpy(), "runs": [_runs(h) for h in hits]}))
         got = pd.concat(out)
+        trim()
         return got[got["runs"].map(len) > 0]
 
     return contexts.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(run, _RUNS)
 
 
-def _counted_runs(contexts: DataFrame, length: int) -> DataFrame:
+def _counted_runs(contexts: DataFrame, length: int, unit: str) -> DataFrame:
     """The same for keys of very many contexts: windows are named by 128-bit hashes and counted, so no task holds a key."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                buf = np.frombuffer(b.column("bytes")[i].as_buffer(), np.uint8)
+                values = mix(np.frombuffer(b.column("bytes")[i].as_buffer(), _DTYPE[unit]).astype(np.uint64))
                 at = np.arange(b.column("n")[i].as_py())
-                one, two = span_hashes(buf, at, at + length), _second_hashes(buf, at, at + length)
+                one, two = (_span(_prefix(v), at, at + length) for v in (values, mix(values)))
                 cols = [pa.array(np.full(len(at), b.column(c)[i].as_py(), np.int64)) for c in ("c1", "c2")]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["c1", "c2", "at", "h1", "h2"])
 
@@ -295,25 +333,24 @@ def _counted_runs(contexts: DataFrame, length: int) -> DataFrame:
     return hits.mapInArrow(pack, _RUNS)
 
 
-def _spans(docs: DataFrame, length: int) -> DataFrame:
-    """(row, ranges): the covered bytes of every text that has some, as pairs of 64-bit integers."""
-    keys = written(_repeated_keys(docs, length), "keys")
-    if keys.count() <= BROADCAST_ROWS:
-        found = written(_occurrences(docs, length, keys.toArrow().column("key").to_numpy()), "anchors")
-    else:
-        found = written(_occurrences(docs, length, None).join(keys, "key", "left_semi"), "anchors")
+def _spans(docs: DataFrame, length: int, unit: str) -> DataFrame:
+    """(row, ranges): the covered symbols of every text that has some, as pairs of 64-bit integers."""
+    every = written(_anchored(docs, length, unit), "anchors")
+    keys = written(every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
+    found = written(every.join(_hinted(keys), "key", "left_semi"), "found")
+    drop(every)
     contexts = written(found.groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo")).alias("at"), F.first("key").alias("key"), F.first("n").alias("n")), "contexts")
     # a key all of whose contexts repeat is settled; the others' contexts must be compared
-    width = F.col("n") + length - 1
+    width = (F.col("n") + length - 1) * _DTYPE[unit].itemsize
     stats = contexts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("times") == 1, 1).otherwise(0)).alias("single"), F.sum(width).alias("width"))
     open_keys = written(stats.where("kinds > 1 AND single > 0").select("key", "width"), "open")
     total = open_keys.agg(F.coalesce(F.sum("width"), F.lit(0))).first()[0]
     reps = contexts.join(open_keys, "key").select("key", "c1", "c2", "n", "width", F.col("at.row").alias("row"), F.col("at.lo").alias("lo"))
-    few = _context_bytes(docs, reps.where(F.col("width") <= TASK_BYTES), length)
-    runs = _sorted_runs(few, length, max(1, int(total) // (2 * TASK_BYTES)))
+    few = _context_bytes(docs, reps.where(F.col("width") <= TASK_BYTES), length, unit)
+    runs = _sorted_runs(few, length, unit, max(1, int(total) // (2 * TASK_BYTES)))
     many = reps.where(F.col("width") > TASK_BYTES)
     if open_keys.where(F.col("width") > TASK_BYTES).limit(1).count():
-        runs = runs.unionByName(_counted_runs(_context_bytes(docs, many, length), length))
+        runs = runs.unionByName(_counted_runs(_context_bytes(docs, many, length, unit), length, unit))
     runs = written(runs, "runs")
     settled = contexts.join(runs, ["c1", "c2"], "left").where("times > 1 OR runs IS NOT NULL").select("c1", "c2", "times", F.when(F.col("times") == 1, F.col("runs")).alias("runs"))
     settled = written(settled, "settled")
@@ -328,7 +365,15 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
                 ranges = [_covered(w.as_py(), length).astype("<i8").tobytes() for w in part.column("windows")]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ranges, pa.binary())], names=["row", "ranges"])
 
-    return written(per.mapInArrow(merge, "row long, ranges binary"), "spans")
+    spans = written(per.mapInArrow(freed(merge), "row long, ranges binary"), "spans")
+    for table in (keys, found, contexts, open_keys, runs, settled):
+        drop(table)
+    return spans
+
+
+def _hinted(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def _covered(windows: list[dict], length: int) -> np.ndarray:
@@ -344,66 +389,88 @@ def _covered(windows: list[dict], length: int) -> np.ndarray:
     return np.stack([a[cut], np.append(b[:-1][cut[1:]], b[-1])], 1)
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Removes every byte inside a string of ``length`` bytes that also starts anywhere else.
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, unit: str = "bytes", passage: int | None = None, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Removes every byte inside a string of ``length`` symbols that also starts anywhere else.
 
-    Texts are UTF-8 bytes, null an empty one; matches stay within a document,
-    may overlap, and are judged on the input.  One row for each row of ``df``:
-    doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256,
-    ``carry`` columns and, with ``keep_text``, the text left (bytes that no
-    longer make a character are left out of it).  Copies are removed from all
-    places, the first included.  Repeated rows are copies; null ids are passed
-    on; other columns are ignored; an empty table gives no rows.
+    Symbols are the UTF-8 bytes of a text, or in unit ``words`` its words
+    between ASCII white space (white space inside a repeat goes with it).  Null
+    is an empty text; matches stay within a document, may overlap, and are
+    judged on the input.  One row for each row of ``df``: doc_id, n_bytes,
+    n_removed, n_spans (maximal removed runs), kept_sha256, ``carry`` columns
+    and, with ``keep_text``, the text left (bytes that no longer make a
+    character are left out of it).  With ``passage``, n_passage_words is the
+    number of words inside strings of so many words that stand anywhere else,
+    which are counted, not removed.  Copies are removed from all places, the
+    first included.  Repeated rows are copies; null ids are passed on; other
+    columns are ignored; an empty table gives no rows.
 
     Only text that can repeat is sorted: each window belongs to the string of
-    half its length with the least hash in it, its anchor, and windows whose
-    anchor stands once are unique.  Contexts of anchors that are equal as a
-    whole are settled by counting.  The rest, one of each kind, is sorted by
+    a third of its length with the least hash in it, its anchor, and windows
+    whose anchor stands once are unique.  Contexts of anchors that are equal as
+    a whole are settled by counting.  The rest, one of each kind, is sorted by
     the difference-cover algorithm in buckets of equal anchors, and neighbours
     are compared; a key of more than TASK_BYTES goes by counted hashes instead,
     so no task holds an unbounded group.
     """
-    spark = df.sparkSession
     names = {f"_carry{i}": c for i, c in enumerate(carry)}
-    if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"} & set(carry):
+    if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "text"} & set(carry):
         raise ValueError(f"carried columns would clash: {sorted(clash)}")
     base = df.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`").alias(n) for n, c in names.items()], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     docs = written(base.withColumn("row", F.monotonically_increasing_id()), "docs")
-    spans = _spans(docs, length)
-    some, others = _beside(docs, spans, F.length("ranges"))
+    spans = _spans(docs, length, unit)
+    if passage:
+        spans = spans.join(_spans(docs, passage, "words").withColumnRenamed("ranges", "passages"), "row", "full_outer")
+    else:
+        spans = spans.withColumn("passages", F.lit(None).cast("binary"))
+    spans = written(spans, "ranges")
+    some, others = _beside(docs, spans, F.coalesce(F.length("ranges"), F.lit(0)) + F.coalesce(F.length("passages"), F.lit(0)))
     joined = some.unionByName(others, allowMissingColumns=True).drop("row")
-    keep = [c for c in joined.columns if c not in ("text", "ranges")]
+    keep = [c for c in joined.columns if c not in ("text", "ranges", "passages")]
     schema = T.StructType([joined.schema[c] for c in keep])
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         schema = schema.add(name, kind)
+    if passage:
+        schema = schema.add("n_passage_words", "long")
     if keep_text:
         schema = schema.add("text", "string")
+    none = np.zeros((0, 2), np.int64)
+
+    def pairs(value: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(value.as_buffer(), "<i8").reshape(-1, 2) if value.is_valid else none
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                size, removed, spans, digest, kept = [], [], [], [], []
-                for value, ranges in zip(part.column("text"), part.column("ranges")):
-                    data = value.as_buffer().to_pybytes()
-                    r = np.frombuffer(ranges.as_buffer(), "<i8").reshape(-1, 2) if ranges.is_valid else np.zeros((0, 2), np.int64)
+            ranges, passages = b.column("ranges"), b.column("passages")
+            for c in chunks(b.column("text")):
+                at, sym = slice(c.first, c.first + c.n), None
+                size, removed, spans, words, digest, kept = [], [], [], [], [], []
+                for i, (value, other) in enumerate(zip(ranges[at], passages[at])):
+                    data, r = c.buf[c.off[i] : c.off[i + 1]].tobytes(), pairs(value)
                     if len(r):
-                        left, at = [], 0
+                        if unit != "bytes":
+                            sym = sym or Symbols(c, unit)
+                            r = sym.bytes_of(i, r)
+                        left, to = [], 0
                         for x, y in r.tolist():
-                            left.append(data[at:x])
-                            at = y
-                        rest = b"".join([*left, data[at:]])
+                            left.append(data[to:x])
+                            to = y
+                        rest = b"".join([*left, data[to:]])
                     else:
                         rest = data
                     size.append(len(data))
                     removed.append(len(data) - len(rest))
                     spans.append(len(r))
                     digest.append(hashlib.sha256(rest).hexdigest())
+                    if passage:
+                        p = pairs(other)
+                        words.append(int((p[:, 1] - p[:, 0]).sum()))
                     if keep_text:
                         kept.append(rest.decode("utf-8", "ignore"))
-                cols = [*(part.column(c) for c in keep), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
+                cols = [*(b.column(k).slice(c.first, c.n) for k in keep), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())]
+                if passage:
+                    cols.append(pa.array(words, pa.int64()))
                 if keep_text:
                     cols.append(pa.array(kept, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return joined.mapInArrow(run, schema).withColumnsRenamed(names)
+    return joined.mapInArrow(freed(run), schema).withColumnsRenamed(names)

@@ -271,11 +271,50 @@ def brute_repeats(rows, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("task", [1 << 20, 600])
-def test_suffix_dedup(docs, none, monkeypatch, task):
+def brute_passages(rows, n):
+    """Per row the words inside strings of ``n`` words that stand twice, and what is left without them."""
+    data = [(i, (t or "").encode(), [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]) for i, t in rows]
+    grams = lambda t, w: [tuple(t[a:b] for a, b in w[i : i + n]) for i in range(len(w) - n + 1)]
+    count = collections.Counter(g for _, t, w in data for g in grams(t, w))
+    out = []
+    for d, t, w in data:
+        inside = set().union(*[range(i, i + n) for i, g in enumerate(grams(t, w)) if count[g] > 1], set())
+        left, at, runs = b"", 0, 0
+        for i in sorted(inside):
+            runs += i - 1 not in inside
+            a = w[i][0] if i - 1 not in inside else at
+            left += t[at:a]
+            at = w[i][1]
+        left += t[at:]
+        out.append((d, len(t), len(t) - len(left), runs, hashlib.sha256(left).hexdigest(), len(inside)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("task, few", [(1 << 20, 1 << 20), (600, 0)])
+def test_suffix_dedup(docs, none, monkeypatch, task, few):
+    """In one array and in many, with what is joined broadcast and shuffled."""
     monkeypatch.setattr(suffix_dedup, "TASK_BYTES", task)
-    assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs, length=60).collect()), key=repr) == brute_repeats([r[:2] for r in ROWS], 60)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", few)
+    rows = [r[:2] for r in ROWS]
+    both = [tuple(r) for r in suffix_dedup.suffix_dedup(docs, length=60, passage=9).collect()]
+    assert sorted((r[:5] for r in both), key=repr) == brute_repeats(rows, 60)
+    words = brute_passages(rows, 9)
+    assert sorted(((*r[:2], r[5]) for r in both), key=repr) == sorted(((*r[:2], r[5]) for r in words), key=repr)
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs, length=9, unit="words").collect()), key=repr) == [r[:5] for r in words]
     assert suffix_dedup.suffix_dedup(none).collect() == []
+    assert suffix_dedup.suffix_dedup(none, passage=5, keep_text=True).collect() == []
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_dedup(docs, carry=("text",))
+
+
+def test_suffix_dedup_long_texts(spark):
+    """Texts larger than a chunk: a passage at both ends of one, and in another."""
+    long = " ".join(f"w{i}" for i in range(50_000))
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = [(0, f"{passage} {long} {passage}"), (1, f"x {passage}"), (2, long[: 1 << 10])]
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.n_passage_words) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), passage=49).collect()}
+    assert got == {r[0]: (r[2], r[3], w[5]) for r, w in zip(brute_repeats(rows, 400), brute_passages(rows, 49))}
 
 
 def test_suffix_array():
