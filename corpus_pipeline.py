@@ -13,7 +13,7 @@ from lexloom.llm.byte_bpe import bpe
 from lexloom.llm.ngram_join import one_of_each
 from lexloom.llm.source_mix import mixed_rows
 from lexloom.llm.store import shared_dir
-from lexloom.llm.suffix_dedup import suffix_dedup
+from lexloom.llm.suffix_dedup import PASSAGE, suffix_dedup
 
 #: What the second stage takes for near copies; see lexloom.llm.ngram_join.
 NEAR = 0.5
@@ -31,9 +31,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings that also stand elsewhere; documents of which nothing but white space is left go."""
+    """Texts without the passages of PASSAGE words that also stand elsewhere; documents of which nothing but white space is left go.
+
+    Passages are counted in words here, so that one of over 50 words is found
+    in any language; the 400 bytes of op7 are more than most such passages have.
+    """
     others = {c: f"_other{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
-    left = suffix_dedup(docs.withColumnsRenamed(others), keep_text=True, carry=tuple(others.values())).withColumn("n_chars", F.length("text").cast("long"))
+    left = suffix_dedup(docs.withColumnsRenamed(others), length=PASSAGE, unit="words", keep_text=True, carry=tuple(others.values())).withColumn("n_chars", F.length("text").cast("long"))
     left = left.select("doc_id", "text", "n_chars", *[F.col(n).alias(c) for c, n in others.items()])
     return left.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
