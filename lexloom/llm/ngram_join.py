@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 
 from .bytetext import SPACED, U64, Chunk, chunks, gram_hashes, inside_one, mix
 from .components import components
-from .store import written
+from .store import drop, free_name, freed, trim, written
 
-#: Words of an n-gram, least Jaccard similarity of a link, and the chance with which a pair just that similar must be a candidate.
-GRAM, THRESHOLD, RECALL = 3, 0.5, 0.99
+#: Words of an n-gram, least Jaccard similarity of a link, and the share of links that must be found, as measured.
+GRAM, THRESHOLD, RECALL = 3, 0.5, 0.999
 #: Trees of the forest, and symbols (of 16 bits) of a signature in each.
 TREES, DEPTH = 40, 4
 #: Classes in a block of the verification, and bytes of text in a task of small components.
@@ -29,11 +29,9 @@ HOT_SHARE = 1e-4
 _FACTORS = np.random.default_rng(77).integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def depth_for(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair of similarity ``threshold`` meets in some tree with chance ``recall``."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """The chance that a pair of such a similarity shares a prefix of ``depth`` symbols in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
 
 
 def shingles(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,24 +97,91 @@ def _classes(base: DataFrame, gram: int) -> DataFrame:
     return written(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
 
-def _candidates(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
+class Forest:
+    """The prefix tries of all trees, as rows in order of (tree, label, class).
+
+    A row's ``lcp`` is the number of symbols that it shares with the row before
+    it, ``near`` that row's class, and ``deep`` the most symbols that it shares
+    with either neighbour, so the node of depth d over a row has company if
+    ``deep`` >= d.  Rows are sorted by range, so a node of any number of rows
+    lies over many tasks, each of which reads its rows as a stream; where two
+    tasks meet, the rows beside the cut are held against each other here.
+    Rows that share fewer than ``floor`` symbols with both neighbours are left
+    out.
+    """
+
+    def __init__(self, sig: DataFrame, floor: int):
+        steps = sig.select("cls", F.posexplode("labels").alias("tree", "label"))
+        ordered = steps.select("tree", "label", "cls").repartitionByRange("tree", "label", "cls").sortWithinPartitions("tree", "label", "cls")
+
+        def run(batches):
+            held: tuple[np.ndarray, ...] | None = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                new = [b.column(c).to_numpy().astype(np.int64) for c in ("tree", "label", "cls")]
+                n, cut = len(new[0]), held is None
+                if held is None:
+                    tree, label, cls = new
+                    near, lcp, edge = cls[:1], np.full(1, -1), np.ones(1, bool)
+                else:
+                    tree, label, cls = (np.concatenate([h, x]) for h, x in zip(held, new))
+                    near, lcp, edge = held[3:]
+                near = np.concatenate([near, cls[:-1]])
+                lcp = np.concatenate([lcp, shared_symbols(tree[:-1], label[:-1], tree[1:], label[1:])])
+                edge = np.concatenate([edge, np.zeros(n - cut, bool)])
+                deep = np.maximum(lcp[:-1], lcp[1:])
+                yield from rows(tree[:-1], label[:-1], cls[:-1], near[:-1], lcp[:-1], deep, edge[:-1])
+                held = tuple(x[-1:] for x in (tree, label, cls, near, lcp, edge))
+            if held is not None:
+                yield from rows(*held[:5], held[4], np.ones(1, bool))
+
+        def rows(tree, label, cls, near, lcp, deep, edge):
+            keep = (deep >= floor) | edge
+            if keep.any():
+                arrays = [pa.array(x[keep]) for x in (tree.astype(np.int32), label, cls, near, lcp.astype(np.int8), deep.astype(np.int8), edge)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["tree", "label", "cls", "near", "lcp", "deep", "edge"])
+
+        self.floor = floor
+        self.rows = written(ordered.mapInArrow(freed(run), "tree int, label long, cls long, near long, lcp byte, deep byte, edge boolean"), "forest")
+        ends = self.rows.where("edge").select("tree", "label", "cls").orderBy("tree", "label", "cls").collect()  # two rows of each task
+        t, x, c = (np.array(col, np.int64) for col in zip(*ends)) if ends else (np.zeros(0, np.int64),) * 3
+        met = list(zip(c[:-1].tolist(), c[1:].tolist(), shared_symbols(t[:-1], x[:-1], t[1:], x[1:]).tolist()))
+        self.met = sig.sparkSession.createDataFrame(met, "cls long, near long, lcp int")
+
+    def neighbours(self, depth: int) -> DataFrame:
+        """(a, b): classes side by side that share a prefix of ``depth`` symbols."""
+        both = self.rows.select("cls", "near", F.col("lcp").cast("int").alias("lcp")).unionAll(self.met).where((F.col("lcp") >= depth) & (F.col("cls") != F.col("near")))
+        return both.select(F.least("cls", "near").alias("a"), F.greatest("cls", "near").alias("b")).distinct()
+
+    def members(self, depth: int) -> DataFrame:
+        """(node, cls): the classes of the nodes of a depth; nodes of one class may be among them."""
+        node = F.xxhash64("tree", F.shiftrightunsigned("label", 16 * (DEPTH - depth)))
+        return self.rows.where((F.col("deep") >= depth) | F.col("edge")).select(node.alias("node"), "cls")
+
+
+def shared_symbols(tree_a: np.ndarray, a: np.ndarray, tree_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the labels' longest common prefixes have, -1 in different trees."""
+    x = (a ^ b).view(np.uint64)
+    n = sum((x >> U64(16 * (DEPTH - k)) == 0).astype(np.int64) for k in range(1, DEPTH)) + (x == 0)
+    return np.where(tree_a == tree_b, n, -1)
+
+
+def _candidates(forest: Forest, sig: DataFrame, threshold: float, depth: int) -> DataFrame:
     """(node, label): the component of every class that has candidates.
 
-    Two classes that share a node of the forest's tries are candidates if their
-    signatures agree in at least half the threshold's share of steps: a pair at
-    the threshold is that far off its expectation with a chance below 1e-9.
-    First each class of a node is held against the node's centre, which differs
-    from tree to tree.  A class unlike the centre may still be like others of
-    the node, so in nodes whose classes aren't connected by then all pairs of
-    different components are held against each other, in pairs of blocks.
+    Two classes below one node of a depth are candidates if their signatures
+    agree in at least half the threshold's share of steps: a pair at the
+    threshold is that far off its expectation with a chance below 1e-9.  First
+    neighbours in the order of the tries are held against each other, then, in
+    nodes whose classes aren't connected by that, all pairs of different
+    components, in pairs of blocks.
     """
-    sig = classes.select("cls", "labels").where(F.size("labels") > 0)
-    node = F.xxhash64(F.col("tree"), F.shiftrightunsigned("label", 16 * (DEPTH - depth)))
-    steps = sig.select("cls", F.posexplode("labels").alias("tree", "label")).select("cls", node.alias("node"), F.xxhash64("tree", "cls").alias("turn"))
-    centres = steps.groupBy("node").agg(F.min(F.struct("turn", "cls")).alias("c"), F.count("*").alias("n")).where("n > 1").select("node", F.col("c.cls").alias("centre"), "n")
-    members = written(steps.join(centres, "node").select("node", "n", "cls", "centre"), "members")
-    edges = members.where("cls <> centre").select(F.least("cls", "centre").alias("a"), F.greatest("cls", "centre").alias("b")).distinct()
-    joined = edges.join(sig.select(F.col("cls").alias("a"), F.col("labels").alias("x")), "a").join(sig.select(F.col("cls").alias("b"), F.col("labels").alias("y")), "b")
+    joined = (
+        forest.neighbours(depth)
+        .join(sig.select(F.col("cls").alias("a"), F.col("labels").alias("x")), "a")
+        .join(sig.select(F.col("cls").alias("b"), F.col("labels").alias("y")), "b")
+    )
 
     def run(batches):
         for b in batches:
@@ -124,23 +189,23 @@ def _candidates(classes: DataFrame, threshold: float, depth: int) -> DataFrame:
             keep = pa.array(_same_steps(x, y) >= threshold / 2)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
-    comps = written(components(joined.mapInArrow(run, "a long, b long")), "components")
-    more = components(_edges_across(members, comps, sig, threshold))
+    comps = written(components(joined.mapInArrow(freed(run), "a long, b long")), "components")
+    more = components(_edges_across(forest.members(depth), comps, sig, threshold))
     grown = comps.join(more.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     return grown.unionByName(more.join(comps.select("node"), "node", "left_anti").select("node", "label"))
 
 
 def _edges_across(members: DataFrame, comps: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) between components of which a node has candidates of each, from (node, n, cls, centre).
+    """Edges (a, b) between components of which a node has candidates of each, from (node, cls).
 
     A component's number is its label, or the class if it is in none.  Nodes of
-    the same classes are looked at once.  Two classes are a centre and another.
+    the same classes are looked at once.  Two classes are neighbours.
     """
     label = F.coalesce("label", "cls").alias("label")
-    rows = members.where("n > 2").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "n", "cls", label)
+    rows = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", label)
     h = F.xxhash64("cls")
-    apart = rows.groupBy("node", "n").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).where("lo <> hi")
-    one = apart.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
+    apart = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")).where("lo <> hi AND n > 2")
+    one = apart.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
     rows = written(rows.join(one, "node"), "apart")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
@@ -172,8 +237,8 @@ def _edges_across(members: DataFrame, comps: DataFrame, sig: DataFrame, threshol
     return small.unionAll(tiles).join(sig, "cls").groupBy("tile").applyInArrow(run, "a long, b long")
 
 
-def _links_in_block(g: np.ndarray, first: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of texts of at least the threshold's similarity: between those whose ``side`` is 0 and 1, or among all if it is 2."""
+def _links_in_block(g: np.ndarray, first: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of texts of at least the threshold's similarity, and that: between those whose ``side`` is 0 and 1, or among all if it is 2."""
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
     order = np.lexsort((g, doc))
@@ -200,8 +265,9 @@ def _links_in_block(g: np.ndarray, first: np.ndarray, side: np.ndarray, threshol
             common += m[rows] @ m[cols].T
     union = size[rows][:, None] + size[cols][None, :] - common
     i, j = np.nonzero((common >= threshold * union) & (union > 0))
+    alike = common[i, j] / union[i, j]
     i, j = rows[i], cols[j]
-    return (i[i < j], j[i < j]) if both else (i, j)
+    return (i[i < j], j[i < j], alike[i < j]) if both else (i, j, alike)
 
 
 def _forest_of(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -223,11 +289,14 @@ def _forest_of(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verified(texts: DataFrame, gram: int, threshold: float) -> DataFrame:
-    """Rows (a, b, n): n links of class a where b is null, else an edge between classes, from (tile, comp, cls, side, text)."""
+    """Rows (a, b, n, w1 to w4): n links of class a where b is null, else an edge between classes, from (tile, comp, cls, side, text).
+
+    ``w<d>`` is the number of links that the n found ones stand for, if a pair is found with its chance at depth d.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["comp", "cls", "side"]).sort_values(["comp", "cls"], kind="stable")
-        out: list[tuple[int, int | None, int]] = []
+        out: list[tuple] = []
         comps = rows["comp"].to_numpy()
         cut = np.flatnonzero(np.concatenate([[True], comps[1:] != comps[:-1], [True]]))
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -239,13 +308,67 @@ def _verified(texts: DataFrame, gram: int, threshold: float) -> DataFrame:
                 firsts.append(first[1:] + base)
                 base += len(g)
             cls = part["cls"].to_numpy()
-            i, j = _links_in_block(np.concatenate(gs), np.concatenate(firsts), part["side"].to_numpy(), threshold)
-            n = np.bincount(np.concatenate([i, j]), minlength=len(cls))
-            out += [(int(cls[k]), None, int(n[k])) for k in np.flatnonzero(n).tolist()]
-            out += [(int(cls[a]), int(cls[b]), 0) for a, b in _forest_of(len(cls), i, j)]
-        return pd.DataFrame({"a": pd.array([o[0] for o in out], "Int64"), "b": pd.array([o[1] for o in out], "Int64"), "n": pd.array([o[2] for o in out], "Int64")})
+            i, j, alike = _links_in_block(np.concatenate(gs), np.concatenate(firsts), part["side"].to_numpy(), threshold)
+            ends = np.concatenate([i, j])
+            n = np.bincount(ends, minlength=len(cls))
+            w = [np.bincount(ends, np.tile(1 / chance(alike, d), 2), len(cls)) for d in range(1, DEPTH + 1)]
+            out += [(int(cls[k]), None, int(n[k]), *(float(x[k]) for x in w)) for k in np.flatnonzero(n).tolist()]
+            out += [(int(cls[a]), int(cls[b]), 0, *[0.0] * DEPTH) for a, b in _forest_of(len(cls), i, j)]
+        trim()
+        cols = list(zip(*out)) or [()] * (3 + DEPTH)
+        return pd.DataFrame({**{c: pd.array(x, "Int64") for c, x in zip("abn", cols)}, **{f"w{d}": np.array(x, float) for d, x in enumerate(cols[3:], 1)}})
+
+    return texts.groupBy("tile").applyInPandas(run, "a long, b long, n long, " + ", ".join(f"w{d} double" for d in range(1, DEPTH + 1)))
+
+
+def _tiles(texts: DataFrame, total: int) -> DataFrame:
+    """(tile, comp, cls, side, text) for the verification: components up to a block share a tile, larger ones are cut into pairs of blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    small = texts.where(F.col("size") <= BLOCK).select(F.xxhash64(F.pmod(F.xxhash64("comp"), F.lit(1 + total // TASK_BYTES))).alias("tile"), "comp", "cls", F.lit(2).alias("side"), "text")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    large = (
+        texts.where(F.col("size") > BLOCK).select("comp", "cls", "text", own.alias("own"), other.alias("other"))
+        .select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "comp", "cls", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "text")
+    )
+    return small.unionAll(large)
+
 
-    return texts.groupBy("tile").applyInPandas(run, "a long, b long, n long")
+def _links(base: DataFrame, classes: DataFrame, gram: int, threshold: float, recall: float) -> DataFrame:
+    """The verified rows of :func:`_verified`.
+
+    Prefixes are matched at their full length first, and by a symbol less each
+    time until the links found make up ``recall`` of all, of which each found
+    one stands for as many as its chance to be found says.  Components that a
+    shorter prefix leaves as they are aren't verified again.
+    """
+    sig = classes.select("cls", "labels").where(F.size("labels") > 0)
+    depth, forest, found, before = DEPTH, None, None, None
+    while True:
+        if forest is None or depth < forest.floor:
+            forest = Forest(sig, max(1, depth - 1))
+        comps = written(_candidates(forest, sig, threshold, depth), "candidates")
+        sizes = comps.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("size"))
+        sized = written(comps.select(F.col("node").alias("cls"), F.col("label").alias("comp")).join(sizes, "comp"), "sized")
+        todo = sized if before is None else sized.join(before, ["comp", "size"], "left_anti")
+        wanted = written(todo.join(classes.select("cls", "md5", "copy_id", "bytes"), "cls"), "wanted")
+        n, total = wanted.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        pick = wanted.drop("bytes")
+        if n <= BROADCAST_ROWS:
+            pick = F.broadcast(pick)
+        texts = base.join(pick, (base["md5"] == wanted["md5"]) & base["doc_id"].eqNullSafe(wanted["copy_id"])).select("cls", "comp", "size", "text")
+        new = _verified(_tiles(texts, total), gram, threshold)
+        if found is not None:
+            new = new.unionByName(found.join(wanted.select(F.col("cls").alias("a")), "a", "left_anti"))
+        new = written(new, "links")
+        links, stand_for = new.where("b IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(f"w{depth}"), F.lit(0.0))).first()
+        for table in (comps, wanted, *([found] if found is not None else [])):
+            drop(table)
+        found, before = new, sized.select("comp", "size").distinct()
+        if depth == 1 or links >= recall * stand_for:
+            drop(forest.rows)
+            return found
+        depth -= 1
 
 
 def near_copies(
@@ -267,33 +390,17 @@ def near_copies(
     without words are linked to none.  Repeated rows are copies; other columns
     are ignored; an empty table gives no rows.
 
-    Candidates: a forest of TREES tries over MinHash signatures, matched by the
-    longest prefix that gives ``recall`` at the threshold.  Each two classes of
-    a node are connected, or their signatures show them to be apart; connected
-    candidates are a component.  Verification: all pairs of a component, exactly, by products
+    Candidates: a forest of TREES tries over MinHash signatures, whose prefixes
+    are matched at full length and then shortened until ``recall``, as measured
+    from the links found, is met.  Each two classes of a node are connected, or
+    their signatures show them to be apart; connected candidates are a
+    component.  Verification: all pairs of a component, exactly, by products
     of incidence matrices of blocks of at most BLOCK texts, so that a link
     between candidates is never lost and no task holds more than two blocks.
     """
-    spark = df.sparkSession
     base = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("md5", F.md5("text"))
     classes = _classes(base, gram)
-    comps = written(_candidates(classes, threshold, depth_for(threshold, recall)), "candidates")
-    sized = comps.join(comps.groupBy("label").agg(F.count("*").alias("size")), "label").select(F.col("node").alias("cls"), F.col("label").alias("comp"), "size")
-    wanted = written(sized.join(classes.select("cls", "md5", "copy_id", "bytes"), "cls"), "wanted")
-    n, total = wanted.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    pick = wanted.drop("bytes")
-    if n <= BROADCAST_ROWS:
-        pick = F.broadcast(pick)
-    texts = base.join(pick, (base["md5"] == wanted["md5"]) & base["doc_id"].eqNullSafe(wanted["copy_id"])).select("cls", "comp", "size", "text")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    small = texts.where(F.col("size") <= BLOCK).select(F.xxhash64(F.pmod(F.xxhash64("comp"), F.lit(1 + total // TASK_BYTES))).alias("tile"), "comp", "cls", F.lit(2).alias("side"), "text")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    large = (
-        texts.where(F.col("size") > BLOCK).select("comp", "cls", "text", own.alias("own"), other.alias("other"))
-        .select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "comp", "cls", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "text")
-    )
-    found = written(_verified(small.unionAll(large), gram, threshold), "links")
+    found = _links(base, classes, gram, threshold, recall)
     links = found.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n_links"))
     tops = components(found.where("b IS NOT NULL").select("a", "b"))
     ids = tops.join(classes.select(F.col("cls").alias("node"), "copy_id"), "node")
@@ -311,17 +418,20 @@ def near_copies(
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` but one of each near-copy class: that whose id is least (of equal ids one; null ids come last).
 
-    Rows are dropped by a broadcast of their numbers if these are few enough,
-    else by a shuffled join.
+    Null texts are empty ones, all empty texts copies of each other, texts
+    without words otherwise alike to none.  All columns stay, whatever their
+    names; an empty table gives no rows.  Rows are dropped by a broadcast of
+    their numbers if these are few enough, else by a shuffled join.
     """
-    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col("_row"))
-    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_copies(rows.select(F.col("_row").alias("doc_id"), F.col(f"`{text}`").alias("text")), gram=options.pop("gram", GRAM), **options)
-    found = written(found.where("n_links > 0 OR n_copies > 1").select(F.col("doc_id").alias("_row"), "class_id"), "near")
-    ids = rows.select("_row", f"`{id_col}`").join(found, "_row")
-    first = ids.groupBy("class_id").agg(F.min(order).alias("first"))
-    stay = first.select(F.col("first._row").alias("_row"))
-    gone = written(found.select("_row").join(stay, "_row", "left_anti"), "gone")
+    own = free_name(df, "row")
+    order = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(own))
+    rows = written(df.withColumn(own, F.monotonically_increasing_id()), "rows")
+    found = near_copies(rows.select(F.col(own).alias("doc_id"), F.col(f"`{text}`").alias("text")), gram=options.pop("gram", GRAM), **options)
+    found = written(found.where("n_links > 0 OR n_copies > 1").select(F.col("doc_id").alias(own), F.col("class_id").alias(f"{own}_class")), "near")
+    ids = rows.select(own, f"`{id_col}`").join(found, own)
+    first = ids.groupBy(f"{own}_class").agg(F.min(order).alias("first"))
+    stay = first.select(F.col(f"first.{own}").alias(own))
+    gone = written(found.select(own).join(stay, own, "left_anti"), "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    return rows.join(gone, own, "left_anti").drop(own)

@@ -63,6 +63,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    name, taken = f"_{name}", {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column name of ``df`` has."""
+    prefix = "_own_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def drop(df: DataFrame) -> None:
     """Removes the files of a table that :func:`written` made and nothing needs any more."""
     spark = df.sparkSession
