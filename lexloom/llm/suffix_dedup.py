@@ -7,6 +7,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,14 +20,11 @@ from .store import drop, freed, trim, written
 LENGTH, PASSAGE = 400, 49
 #: Most bytes of contexts of a key in a suffix array; bytes in an array of several keys.
 TASK_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
-#: Keys or numbers of rows, and bytes of what goes with them, that may be broadcast.
+#: Numbers of rows, and bytes of what goes with them, that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 #: Occurrences from which a context is joined by broadcast are this share of all, so there are few such contexts.
 HOT_SHARE = 1e-4
 
-_BYTE2 = np.random.default_rng(424242).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-
-
 # -- symbols
 
 
@@ -41,22 +39,18 @@ class Symbols:
         self.chunk, self.unit = chunk, unit
         if unit == "bytes":
             self.off, self.starts, self.ends = chunk.off, None, None
-            self.values, self.other = bytetext._BYTE[chunk.buf], _BYTE2[chunk.buf]
+            self.values = bytetext._BYTE[chunk.buf]
         elif unit == "words":
             w = chunk.words(SPACED)
             self.off, self.starts, self.ends = w.first, w.starts, w.ends
             self.values = w.hashes()
-            self.other = mix(self.values + U64(0x2545F4914F6CDD1D))
         else:
             raise ValueError(f"unknown unit {unit!r}")
-        self.prefix, self.prefix2 = _prefix(self.values), _prefix(self.other)
+        self.prefix = _prefix(self.values)
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _span(self.prefix, a, b)
 
-    def second(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _span(self.prefix2, a, b)
-
     def cut(self, i: int, lo: int, n: int) -> bytes:
         """``n`` symbols of text ``i`` from ``lo``, as they go into a suffix array."""
         at = int(self.off[i]) + lo
@@ -182,11 +176,11 @@ def anchors(sym: Symbols, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Places, first and last windows and hashes of the anchors of a chunk.
 
     Each window of ``length`` symbols belongs to one anchor: of the strings of
-    a third of that length inside it, the leftmost of the least hash.  Equal
+    a quarter of that length inside it, the leftmost of the least hash.  Equal
     windows have equal anchors at the same offset, and the windows of an anchor
     lie side by side.
     """
-    k = max(1, length // 3)
+    k = max(1, length // 4)
     w = length - k + 1
     n = len(sym.values)
     none = np.zeros(0, np.int64)
@@ -216,7 +210,7 @@ def anchors(sym: Symbols, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _anchored(docs: DataFrame, length: int, unit: str) -> DataFrame:
-    """Anchors (row, key, c1, c2, lo, n): c1 and c2 are hashes of the context (the symbols of an anchor's windows and where it stands in them), which begins at lo with n windows."""
+    """Anchors (row, key, ctx, lo, n): key and ctx are hashes of the anchor and of its context (the symbols of its windows and where it stands in them), which begins at lo with n windows."""
 
     def run(batches):
         for b in batches:
@@ -228,17 +222,17 @@ def _anchored(docs: DataFrame, length: int, unit: str) -> DataFrame:
                     continue
                 doc = np.searchsorted(sym.off, lo, side="right") - 1
                 shape = mix((place - lo).astype(np.uint64) << U64(32) | (hi - lo).astype(np.uint64))
-                c1, c2 = mix(sym.hashes(lo, hi + length) ^ shape), sym.second(lo, hi + length)
-                arrays = [row[c.first + doc], key.view(np.int64), c1.view(np.int64), c2.view(np.int64), lo - sym.off[doc], hi - lo + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)) for a in arrays], names=["row", "key", "c1", "c2", "lo", "n"])
+                ctx = mix(sym.hashes(lo, hi + length) ^ shape)
+                arrays = [row[c.first + doc], key.view(np.int64), ctx.view(np.int64), lo - sym.off[doc], hi - lo + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)) for a in arrays], names=["row", "key", "ctx", "lo", "n"])
 
-    return docs.select("row", "text").mapInArrow(freed(run), "row long, key long, c1 long, c2 long, lo long, n long")
+    return docs.select("row", "text").mapInArrow(freed(run), "row long, key long, ctx long, lo long, n long")
 
 
 # -- contexts
 
 
-_RUNS = "c1 long, c2 long, runs binary"
+_RUNS = "key long, ctx long, runs binary"
 
 
 def _runs(windows: np.ndarray) -> bytes:
@@ -265,8 +259,8 @@ def _beside(docs: DataFrame, per: DataFrame, size: Column) -> tuple[DataFrame, D
 
 
 def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str) -> DataFrame:
-    """(key, c1, c2, n, bytes) of the contexts of ``reps``, cut from their texts."""
-    per = reps.groupBy("row").agg(F.collect_list(F.struct("key", "c1", "c2", "lo", "n")).alias("cuts"))
+    """(key, ctx, n, bytes) of the contexts of ``reps``, cut from their texts."""
+    per = reps.groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "lo", "n")).alias("cuts"))
     per = written(per, "cuts")
 
     def run(batches):
@@ -274,23 +268,23 @@ def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str) ->
             cuts = b.column("cuts")
             for c in chunks(b.column("text")):
                 sym = Symbols(c, unit)
-                out: dict[str, list] = {k: [] for k in ("key", "c1", "c2", "n", "bytes")}
+                out: dict[str, list] = {k: [] for k in ("key", "ctx", "n", "bytes")}
                 for i in range(c.n):
                     for x in cuts[c.first + i].as_py():
-                        for k in ("key", "c1", "c2", "n"):
+                        for k in ("key", "ctx", "n"):
                             out[k].append(x[k])
                         out["bytes"].append(sym.cut(i, x["lo"], x["n"] - 1 + length))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
 
     some, _ = _beside(docs.select("row", "text"), per, F.size("cuts") * 48)
-    return some.mapInArrow(freed(run), "key long, c1 long, c2 long, n long, bytes binary")
+    return some.mapInArrow(freed(run), "key long, ctx long, n long, bytes binary")
 
 
 def _sorted_runs(contexts: DataFrame, length: int, unit: str, buckets: int) -> DataFrame:
     """Repeated windows of contexts, from suffix arrays of buckets of keys."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["c1", "c2"]).sort_values("key", kind="stable")
+        rows = rows.drop_duplicates(["key", "ctx"]).sort_values("key", kind="stable")
         size = rows["bytes"].map(len).to_numpy()
         group = np.cumsum(size) // min(ARRAY_BYTES, TASK_BYTES)
         key = rows["key"].to_numpy()
@@ -301,7 +295,7 @@ def _sorted_runs(contexts: DataFrame, length: int, unit: str, buckets: int) -> D
         for g in np.unique(group):
             part = rows[group == g]
             hits = repeated_windows([np.frombuffer(x, _DTYPE[unit]) for x in part["bytes"]], part["n"].tolist(), length)
-            out.append(pd.DataFrame({"c1": part["c1"].to_numpy(), "c2": part["c2"].to_numpy(), "runs": [_runs(h) for h in hits]}))
+            out.append(pd.DataFrame({"key": part["key"].to_numpy(), "ctx": part["ctx"].to_numpy(), "runs": [_runs(h) for h in hits]}))
         got = pd.concat(out)
         trim()
         return got[got["runs"].map(len) > 0]
@@ -318,17 +312,17 @@ def _counted_runs(contexts: DataFrame, length: int, unit: str) -> DataFrame:
                 values = mix(np.frombuffer(b.column("bytes")[i].as_buffer(), _DTYPE[unit]).astype(np.uint64))
                 at = np.arange(b.column("n")[i].as_py())
                 one, two = (_span(_prefix(v), at, at + length) for v in (values, mix(values)))
-                cols = [pa.array(np.full(len(at), b.column(c)[i].as_py(), np.int64)) for c in ("c1", "c2")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["c1", "c2", "at", "h1", "h2"])
+                cols = [pa.array(np.full(len(at), b.column(c)[i].as_py(), np.int64)) for c in ("key", "ctx")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["key", "ctx", "at", "h1", "h2"])
 
-    windows = written(contexts.mapInArrow(run, "c1 long, c2 long, at long, h1 long, h2 long"), "windows")
+    windows = written(contexts.mapInArrow(run, "key long, ctx long, at long, h1 long, h2 long"), "windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    hits = windows.join(twice, ["h1", "h2"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    hits = windows.join(twice, ["h1", "h2"]).groupBy("key", "ctx").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
     def pack(batches):
         for b in batches:
             runs = [_runs(np.array(x, np.int64)) for x in b.column("at").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("c1"), b.column("c2"), pa.array(runs, pa.binary())], names=["c1", "c2", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("ctx"), pa.array(runs, pa.binary())], names=["key", "ctx", "runs"])
 
     return hits.mapInArrow(pack, _RUNS)
 
@@ -337,33 +331,32 @@ def _spans(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """(row, ranges): the covered symbols of every text that has some, as pairs of 64-bit integers."""
     every = written(_anchored(docs, length, unit), "anchors")
     keys = written(every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
-    found = written(every.join(_hinted(keys), "key", "left_semi"), "found")
+    found = written(every.join(keys, "key", "left_semi"), "found")
     drop(every)
-    contexts = written(found.groupBy("c1", "c2").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo")).alias("at"), F.first("key").alias("key"), F.first("n").alias("n")), "contexts")
+    contexts = written(found.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo")).alias("at"), F.first("n").alias("n")), "contexts")
     # a key all of whose contexts repeat is settled; the others' contexts must be compared
     width = (F.col("n") + length - 1) * _DTYPE[unit].itemsize
     stats = contexts.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("times") == 1, 1).otherwise(0)).alias("single"), F.sum(width).alias("width"))
     open_keys = written(stats.where("kinds > 1 AND single > 0").select("key", "width"), "open")
     total = open_keys.agg(F.coalesce(F.sum("width"), F.lit(0))).first()[0]
-    reps = contexts.join(open_keys, "key").select("key", "c1", "c2", "n", "width", F.col("at.row").alias("row"), F.col("at.lo").alias("lo"))
+    reps = contexts.join(open_keys, "key").select("key", "ctx", "n", "width", F.col("at.row").alias("row"), F.col("at.lo").alias("lo"))
     few = _context_bytes(docs, reps.where(F.col("width") <= TASK_BYTES), length, unit)
     runs = _sorted_runs(few, length, unit, max(1, int(total) // (2 * TASK_BYTES)))
     many = reps.where(F.col("width") > TASK_BYTES)
     if open_keys.where(F.col("width") > TASK_BYTES).limit(1).count():
         runs = runs.unionByName(_counted_runs(_context_bytes(docs, many, length, unit), length, unit))
     runs = written(runs, "runs")
-    settled = contexts.join(runs, ["c1", "c2"], "left").where("times > 1 OR runs IS NOT NULL").select("c1", "c2", "times", F.when(F.col("times") == 1, F.col("runs")).alias("runs"))
+    settled = contexts.join(runs, ["key", "ctx"], "left").where("times > 1 OR runs IS NOT NULL").select("key", "ctx", "times", F.when(F.col("times") == 1, F.col("runs")).alias("runs"))
     settled = written(settled, "settled")
     hot = settled.where(F.col("times") > F.lit(max(1000, HOT_SHARE * found.count())))
-    some = found.join(F.broadcast(hot), ["c1", "c2"]).unionByName(found.join(F.broadcast(hot.select("c1", "c2")), ["c1", "c2"], "left_anti").join(settled, ["c1", "c2"]))
+    some = found.join(F.broadcast(hot), ["key", "ctx"]).unionByName(found.join(F.broadcast(hot.select("key", "ctx")), ["key", "ctx"], "left_anti").join(settled, ["key", "ctx"]))
     per = some.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "runs")).alias("windows"))
 
     def merge(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                ranges = [_covered(w.as_py(), length).astype("<i8").tobytes() for w in part.column("windows")]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ranges, pa.binary())], names=["row", "ranges"])
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                yield pa.RecordBatch.from_arrays([part.column("row"), _covered(part.column("windows"), length)], names=["row", "ranges"])
 
     spans = written(per.mapInArrow(freed(merge), "row long, ranges binary"), "spans")
     for table in (keys, found, contexts, open_keys, runs, settled):
@@ -371,22 +364,33 @@ def _spans(docs: DataFrame, length: int, unit: str) -> DataFrame:
     return spans
 
 
-def _hinted(keys: DataFrame) -> DataFrame:
-    """Marked for broadcast if there are few enough."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
-def _covered(windows: list[dict], length: int) -> np.ndarray:
-    """Maximal covered byte ranges (k, 2) from repeated windows."""
-    parts = []
-    for w in windows:
-        r = np.array([[0, w["n"] - 1]]) if w["runs"] is None else np.frombuffer(w["runs"], "<i4").reshape(-1, 2)
-        parts.append(r.astype(np.int64) + w["lo"])
-    r = np.concatenate(parts)
-    r = r[np.argsort(r[:, 0])]
-    a, b = r[:, 0], np.maximum.accumulate(r[:, 1] + length)
-    cut = np.concatenate([[True], a[1:] > b[:-1]])
-    return np.stack([a[cut], np.append(b[:-1][cut[1:]], b[-1])], 1)
+def _covered(windows: pa.Array, length: int) -> pa.Array:
+    """For each row's list of (lo, n, runs) the maximal covered ranges, as pairs of 64-bit integers."""
+    count = np.asarray(windows.value_lengths()).astype(np.int64)
+    flat = windows.flatten()
+    lo, n, runs = (flat.field(k) for k in range(3))
+    lo, whole = lo.to_numpy(), ~np.asarray(runs.is_valid())
+    size = np.where(whole, 1, np.asarray(pc.fill_null(pc.binary_length(runs), 0)) // 8)
+    first = np.cumsum(size) - size
+    a, b = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+    b[first[whole]] = n.to_numpy()[whole] - 1
+    buf, _ = bytetext.column_bytes(runs)
+    listed = np.repeat(~whole, size)
+    pairs = np.frombuffer(buf.tobytes(), "<i4").reshape(-1, 2)
+    a[listed], b[listed] = pairs[:, 0], pairs[:, 1]
+    at = np.repeat(lo, size)
+    a, b = a + at, b + at + length
+    row = np.repeat(np.repeat(np.arange(len(count)), count), size)
+    order = np.lexsort((a, row))
+    a, b, row = a[order], b[order], row[order]
+    # rows are laid one after another, so that one running maximum does for all
+    step = np.int64(b.max(initial=0) + 1)
+    far = np.maximum.accumulate(b + row * step)
+    head = np.flatnonzero(np.concatenate([[True], a[1:] + row[1:] * step > far[:-1]])) if len(a) else np.zeros(0, np.int64)
+    tail = np.append(head[1:], len(a)) - 1
+    out = np.stack([a[head], far[tail] - row[tail] * step], 1).astype("<i8") if len(a) else np.zeros((0, 2), "<i8")
+    cut = np.searchsorted(row[head], np.arange(len(count) + 1)) * 16
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(out.tobytes())])
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, unit: str = "bytes", passage: int | None = None, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -405,7 +409,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     columns are ignored; an empty table gives no rows.
 
     Only text that can repeat is sorted: each window belongs to the string of
-    a third of its length with the least hash in it, its anchor, and windows
+    a quarter of its length with the least hash in it, its anchor, and windows
     whose anchor stands once are unique.  Contexts of anchors that are equal as
     a whole are settled by counting.  The rest, one of each kind, is sorted by
     the difference-cover algorithm in buckets of equal anchors, and neighbours
