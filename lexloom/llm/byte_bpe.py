@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import U64, Chunk, chunks, mix, span_hashes
-from .store import bounded_broadcast
+from .store import bounded_broadcast, freed
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens of up to so many bytes are merged side by side, one step of each heap at a time.
 SHORT = 48
+#: Bytes of texts that are encoded together: the more, the fewer pieces are merged twice.
+CHUNK_BYTES = 1 << 20
 _NONE = np.int64(1 << 40)
 STEP = U64(0x9E3779B97F4A7C15)
 
@@ -386,7 +388,7 @@ def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", wi
     def run(batches):
         ranks, classes = shared.value
         for b in batches:
-            for c in chunks(b.column("text")):
+            for c in chunks(b.column("text"), CHUNK_BYTES):
                 ids, first = encode(ranks, c, classes)
                 back = decode(ranks, ids)
                 cut = np.concatenate([[0], np.cumsum(ranks.off[ids + 1] - ranks.off[ids])])[first]
@@ -398,4 +400,4 @@ def bpe(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", wi
                     cols.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)

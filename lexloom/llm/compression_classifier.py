@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import column_bytes
-from .store import bounded_broadcast
+from .store import bounded_broadcast, freed
 
 #: Labelled rows of each class that a fit reads at most, and bytes of a text that may be among them.
 SAMPLE, SAMPLE_BYTES = 3000, 100_000
@@ -106,8 +106,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return w, mean, scale
 
 
-def fit_texts(good: list[bytes], bad: list[bytes]) -> Model:
-    """Dictionaries from every other text, calibration on the rest."""
+def fit_texts(good: list[bytes], bad: list[bytes], odds: float | None = None) -> Model:
+    """Dictionaries from every other text, calibration on the rest; ``odds`` are those of label 1 where the texts are drawn from."""
     one = Model(_train_dictionary(good[::2]), _train_dictionary(bad[::2]), np.zeros(5), np.zeros(4), np.ones(4))
     scorer = Scorer(one)
     rest = [(t, 1.0) for t in good[1::2] or good] + [(t, 0.0) for t in bad[1::2] or bad]
@@ -115,6 +115,8 @@ def fit_texts(good: list[bytes], bad: list[bytes]) -> Model:
         return one
     y = np.array([v for _, v in rest])
     one.weights, one.mean, one.scale = _logistic(np.array([scorer.features(t) for t, _ in rest]), y)
+    if odds and 0 < y.mean() < 1:
+        one.weights[-1] += np.log(odds) - np.log(y.mean() / (1 - y.mean()))
     return one
 
 
@@ -123,12 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     Rows whose ``crc_bucket`` is 0, null ids and other labels than 0 and 1 are
     left out, as are texts of more than ``SAMPLE_BYTES``.  The ids are picked
-    from ``labels`` alone and broadcast, so documents are scanned once.  Class
-    frequencies in the sample are as drawn: see ``sample``.  Without rows of
-    both classes the scores are the prior.
+    from ``labels`` alone and broadcast, so documents are scanned once; of
+    several documents of one id the least text counts, and an id with both
+    labels counts for both.  The calibration weighs the two classes as often as
+    ``labels`` has them.  Without rows of both classes the scores are the prior.
     """
     pool = labels.where(F.col(f"`{id_col}`").isNotNull() & (crc_bucket(F.col(f"`{id_col}`")) != 0)).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label"))
     pool = pool.withColumn("h", F.xxhash64("doc_id"))
+    shares = {r["label"]: r["count"] for r in pool.where("label IN (0, 1)").groupBy("label").count().collect()}
     picked = [r for v in (1, 0) for r in pool.where(F.col("label") == v).orderBy("h", "doc_id").limit(sample).collect()]
     spark = docs.sparkSession
     if not picked:
@@ -137,11 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     texts = (
         docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
         .where(F.octet_length("text") <= SAMPLE_BYTES)
-        .join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text").limit(4 * sample).collect()
+        .join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     )
-    texts.sort(key=lambda r: (r["doc_id"], r["text"]))
+    texts.sort(key=lambda r: (r["doc_id"], r["label"]))
     of = lambda v: [r["text"].encode() for r in texts if r["label"] == v and r["text"]]
-    return fit_texts(of(1), of(0))
+    return fit_texts(of(1), of(0), shares[1] / shares[0] if len(shares) == 2 else None)
 
 
 def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -165,11 +169,15 @@ def classify(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
             score = scorer.scores(rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)
 
 
 def keep_good(df: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` whose text scores at least ``threshold``, with all their columns."""
+    """The rows of ``df`` whose text scores at least ``threshold``, with all their columns, whatever their names.
+
+    Null texts are scored as empty ones; equal texts, and so repeated rows, stay
+    or go together; an empty table gives no rows.
+    """
     shared = bounded_broadcast(df.sparkSession, model, model.size(), 64 << 20)
     at = df.columns.index(text)
 
@@ -181,4 +189,4 @@ def keep_good(df: DataFrame, model: Model, text: str = "text", threshold: float
             rows = np.array([scorer.features(data[i:j]) for i, j in itertools.pairwise(off.tolist())]).reshape(-1, 4)
             yield b.filter(pa.array(scorer.scores(rows) >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(freed(run), df.schema)

@@ -18,6 +18,9 @@ FAN_IN = 16
 #: Bytes of queries that are broadcast at a time.
 GROUP_BYTES = 32 << 20
 
+#: The score of an empty place.
+EMPTY = np.iinfo(np.int64).min
+
 _LISTS = "block int, part long, query_id binary, ids binary, scores binary"
 
 
@@ -54,16 +57,9 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _merge(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of every row's candidates; an id below 0 marks an empty place; equal ids count once."""
-    order = np.lexsort((ids, -scores, ids < 0), axis=1)
-    ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-    same = np.zeros(ids.shape, bool)
-    same[:, 1:] = (ids[:, 1:] == ids[:, :-1]) & (ids[:, 1:] >= 0)
-    if same.any():
-        ids = np.where(same, -1, ids)
-        order = np.argsort(ids < 0, axis=1, kind="stable")
-        ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-    return ids[:, :k].copy(), scores[:, :k].copy()
+    """The k best of every row's candidates, empty places last; rows of equal ids count each."""
+    order = np.lexsort((ids, -scores, scores == EMPTY), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
 
 
 def _select(s: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +77,7 @@ def _select(s: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np
     m = min(n, k)
     at = np.argpartition(key, n - m, axis=1)[:, n - m :] if m < n else np.broadcast_to(np.arange(n), s.shape)
     gone = np.take_along_axis(key, at, 1) == np.iinfo(np.int64).min
-    return np.where(gone, -1, ids[at]), np.take_along_axis(s, at, 1)
+    return ids[at], np.where(gone, EMPTY, np.take_along_axis(s, at, 1))
 
 
 def _query_groups(queries: DataFrame, scale: float) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
@@ -158,13 +154,14 @@ def _search(group: list, candidates: DataFrame, k: int, scale: float, parts: int
 def exact_topk(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """For each query its ``k`` candidates of highest inner product, ties to smaller ids.
 
-    Components become ``floor(scale * x)``.  ``id_col`` is a key, and a query's
-    candidates are all rows of ``df`` but those of its own id; should an id be
-    repeated, its best score counts, once.  Vectors (and ids) that are null or
-    hold a null or non-finite component take no part, as query or candidate;
-    vectors of another length than the query's don't either.  Empty tables give
-    no rows; other columns are ignored.  Returns query_id, rank (from 1),
-    vec_id and score.  Ids are not negative.
+    Components become ``floor(scale * x)``.  A query's candidates are all rows
+    of ``df`` but those of its own id; rows of one id are candidates each.
+    Repeated rows of ``queries`` are one query; rows of one id with different
+    vectors are queries each.  Vectors (and ids) that are null or hold a null or
+    non-finite component take no part, as query or candidate; vectors of
+    another length than the query's don't either.  Empty tables give no rows;
+    other columns are ignored; ids may be negative.  Returns query_id, rank
+    (from 1), vec_id and score.
 
     Queries are broadcast in groups of bounded size, each over one scan of the
     candidates, which are never shuffled; lists of ``k`` are merged by a tree of
@@ -174,7 +171,7 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     candidates, spark = pick(df), df.sparkSession
     parts = candidates.rdd.getNumPartitions()
     found: list[DataFrame] = []
-    for group in _query_groups(pick(queries), scale):
+    for group in _query_groups(pick(queries).distinct(), scale):
         one = _search(group, candidates, k, scale, parts)
         found.append(written(one, "topk") if found else one)
     schema = "query_id long, rank int, vec_id long, score long"
@@ -186,9 +183,7 @@ def exact_topk(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
             for q, i, s in zip(b.column("query_id").to_pylist(), b.column("ids").to_pylist(), b.column("scores").to_pylist()):
                 q = np.frombuffer(q, np.int64)
                 i, s = np.frombuffer(i, np.int64).reshape(len(q), -1), np.frombuffer(s, np.int64).reshape(len(q), -1)
-                _, first = np.unique(q, return_index=True)
-                i, s, q = i[first], s[first], q[first]
-                there = i >= 0
+                there = s != EMPTY
                 rank = np.broadcast_to(np.arange(1, i.shape[1] + 1, dtype=np.int32), i.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, there.sum(1))), pa.array(rank[there]), pa.array(i[there]), pa.array(s[there])], names=["query_id", "rank", "vec_id", "score"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import ALNUM, LOWER, Chunk, chunks, span_hashes
-from .store import bounded_broadcast
+from .store import bounded_broadcast, freed
 
 MAX_AUTOMATON_BYTES = 64 << 20
 #: Words of the shortest match that counts, and the widest gap (in words, in the text or the template) inside a chain.
@@ -21,26 +22,53 @@ MIN_MATCH, MAX_GAP = 3, 4
 SHORT_COVER, LONG_COVER, LONG = 0.9, 0.6, 12
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_WARRANTY = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+
+#: Texts by label: short statements, the notices that go into files, and whole short licenses by their parts.
 TEMPLATES: dict[str, list[str]] = {
+    "agpl-3.0": ["licensed under the GNU Affero General Public License, version 3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
-        ("you may not use this file except " "in compliance with the License. You may " "obtain a copy of the License at"),
-        ("distributed under the License is distributed on " "an AS IS BASIS, WITHOUT WARRANTIES OR " "CONDITIONS OF ANY KIND, either express or " "implied"),
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "artistic-2.0": ["licensed under the Artistic License 2.0", "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License"],
+    "bsd": [
+        _BSD_START,
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        _BSD_END,
+        "licensed under the BSD License",
     ],
-    "bsd": [("Redistribution and use in source and binary " "forms, with or without modification, are permitted " "provided that the following conditions are met")],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "cc-by-4.0": ["licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
     "cc-by-nc-4.0": ["licensed under CC BY-NC 4.0", "Creative Commons Attribution NonCommercial 4.0 International License"],
     "cc-by-sa-4.0": ["licensed under CC BY-SA 4.0", "Creative Commons Attribution ShareAlike 4.0 International License"],
-    "cc-by-4.0": ["licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "cc0-1.0": ["Creative Commons Zero v1.0 Universal", "the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "gpl-2.0": ["licensed under the GNU General Public License, version 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"],
     "gpl-3.0": [
         "licensed under the GNU General Public License, version 3",
-        ("This program is free software: you can " "redistribute it and/or modify it under the " "terms of the GNU General Public License " "as published by the Free Software Foundation, " "either version 3 of the License"),
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+        f"This program {_WARRANTY} See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
     ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "licensed under the ISC License"],
+    "lgpl": ["licensed under the GNU Lesser General Public License", f"This library {_WARRANTY} See the GNU Lesser General Public License for more details.", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "mit": [
         "Released under the MIT License",
         "licensed under the MIT License",
-        ("Permission is hereby granted, free of charge, " "to any person obtaining a copy of " "this software and associated documentation files, to " "deal in the Software without restriction, including " "without limitation the rights to use, copy, " "modify, merge, publish, distribute, sublicense, and/or sell " "copies of the Software"),
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        f"{_AS_IS} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
-    "mpl-2.0": [("This Source Code Form is subject to " "the terms of the Mozilla Public License, " "v. 2.0")],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
 }
 
 
@@ -152,21 +180,21 @@ class Scanner:
         out[at[hit]] = self.ids[place[hit]]
         return out
 
-    def chains(self, found: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """Per template the best chain of (end, length, state) matches: covered share, first and last word.
+    def chains(self, found: list[tuple[int, int, int]]) -> dict[int, list[tuple[float, int, int]]]:
+        """Per template its chains of (end, length, state) matches, best first: covered share, first and last word.
 
         Matches are chained in order of the text where both gaps are at most
-        MAX_GAP; the overlap of neighbours counts once.
+        MAX_GAP; the overlap of neighbours counts once.  Chains of a template
+        have no word of the text in common, so each of its copies is one.
         """
         by: dict[int, list[tuple[int, int, int, int]]] = {}
         for end, l, v in found:
             for k, at in self.automaton.ends[v]:
                 by.setdefault(k, []).append((end - l, end, at - l, at))
-        out = {}
+        out: dict[int, list[tuple[float, int, int]]] = {}
         for k, spans in by.items():
             spans.sort()
             best: list[tuple[int, int]] = []
-            top = (0, 0, 0)
             for i, (a, b, c, d) in enumerate(spans):
                 cover, start = b - a, a
                 for j in range(i - 1, -1, -1):
@@ -177,9 +205,13 @@ class Scanner:
                     if b2 < b and d2 < d and a2 < a and c2 < c and a - b2 <= MAX_GAP and c - d2 <= MAX_GAP and best[j][0] + b - a - lap > cover:
                         cover, start = best[j][0] + b - a - lap, best[j][1]
                 best.append((cover, start))
-                if cover > top[0]:
-                    top = (cover, start, b - 1)
-            out[k] = (min(1.0, top[0] / self.automaton.sizes[k]), top[1], top[2])
+            taken: list[tuple[int, int]] = []
+            for i in sorted(range(len(spans)), key=lambda i: (-best[i][0], spans[i])):
+                (cover, start), end = best[i], spans[i][1]
+                at = bisect.bisect_left(taken, (start, end))
+                if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                    taken.insert(at, (start, end))
+                    out.setdefault(k, []).append((min(1.0, cover / self.automaton.sizes[k]), start, end - 1))
         return out
 
     def scan(self, chunk: Chunk) -> dict[str, list | np.ndarray]:
@@ -221,9 +253,11 @@ class Scanner:
         labels = [set(s) for s in base]
         spans: list[list[dict]] = [[] for _ in range(chunk.n)]
         for d, matches in found.items():
-            for k, (cover, i, j) in self.chains(matches).items():
-                score[d] = max(score[d], cover)
-                if cover >= (SHORT_COVER if self.automaton.sizes[k] < LONG else LONG_COVER):
+            for k, chains in self.chains(matches).items():
+                score[d] = max(score[d], chains[0][0])
+                for cover, i, j in chains:
+                    if cover < (SHORT_COVER if self.automaton.sizes[k] < LONG else LONG_COVER):
+                        break
                     labels[d].add(self.labels[k])
                     spans[d].append({"label": self.labels[k], "first": i, "last": j, "cover": cover})
         none = n_base == 0
@@ -251,7 +285,7 @@ def scan_licenses(
     (those of phrases and of templates covered enough; sorted, distinct, joined
     by commas, empty if none), score (1 if a phrase stands in the text, else
     the largest share of a template that a chain of matches covers) and spans
-    (label, first and last word, share; the best chain of each template).  Null and
+    (label, first and last word, share; every chain that covers enough of its template).  Null and
     empty texts have no words and score 0.  Null ids are passed on, repeated
     rows judged each, other columns ignored; an empty table gives no rows.  One
     pass, no shuffle; the automaton, whose size is checked, is broadcast.
@@ -276,4 +310,4 @@ def scan_licenses(
                     cols.append(pa.array(got[name], kind) if kind else pa.array(got[name]))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)

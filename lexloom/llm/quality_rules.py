@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import GRAM, SPACED, Chunk, char_table, chunks, gram_hashes, inside_one, mix, span_hashes, sums
-from .store import small_batches
+from .store import freed, small_batches
 
 #: Most characters (as a share of those in words) that may stand inside n-grams of so many words that occurred before in the text.
 GRAM_LIMITS = {3: 0.5, 4: 0.4, 5: 0.15, 6: 0.15, 7: 0.15, 8: 0.15, 9: 0.15, 10: 0.15}
@@ -145,4 +145,4 @@ def quality_rules(
                 cols = [b.column("doc_id").slice(c.first, c.n), *(pa.array(m[x]) for x in counts), pa.array(base_failed), pa.array(kept), *map(pa.array, share)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(freed(run), schema)

@@ -11,10 +11,10 @@ from . import compression_classifier
 from .byte_bpe import bpe
 from .exact_topk import exact_topk
 from .license_scan import scan_licenses
-from .ngram_join import near_copies
-from .quality_rules import quality_rules
+from .ngram_join import GRAM, THRESHOLD, near_copies
+from .quality_rules import GRAM_LIMITS, LINE_LIMIT, SYMBOL_LIMIT, quality_rules
 from .source_mix import mix_sources
-from .suffix_dedup import PASSAGE, suffix_dedup
+from .suffix_dedup import LENGTH, PASSAGE, suffix_dedup
 from .suffix_tree_lm import lm_scores
 from .url_filter import judge_urls
 
@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_LIMITS = " OR ".join(f"coalesce(c{n}, 0) > {limit}::DOUBLE * chars" for n, limit in GRAM_LIMITS.items())
 _RULE_VALUES = ", ".join("('{}', '{}', '{}')".format(v, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
@@ -111,15 +113,52 @@ ORACLE_SQL: dict[str, str] = {
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-            FROM ok q JOIN ok c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+            SELECT q.vec_id AS query_id, q.v, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM (SELECT DISTINCT vec_id, v FROM ok WHERE vec_id % 100 = 0) q JOIN ok c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
         )
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        SELECT query_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
         FROM s QUALIFY rank <= 10""",
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+        g AS (SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM w, (SELECT unnest({sorted(GRAM_LIMITS)}) AS n) WHERE len(ws) >= n),
+        k AS (SELECT r, n, i, hash(ws[i:i + n - 1]) AS k FROM g),
+        h AS (SELECT r, n, i, row_number() OVER (PARTITION BY r, n, k ORDER BY i) AS place, count(*) OVER (PARTITION BY r, n, k) AS times FROM k),
+        p AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS pos FROM h WHERE place > 1),
+        c AS (SELECT r, n, sum(length(ws[pos])) AS c FROM p JOIN w USING (r) GROUP BY r, n),
+        x AS (SELECT r, {", ".join(f"max(c) FILTER (n = {n}) AS c{n}" for n in GRAM_LIMITS)} FROM c GROUP BY r),
+        b AS (SELECT r, count(DISTINCT pos) AS n_repeat FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM h WHERE n = 5 AND times > 1) GROUP BY r),
+        l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS place FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
+        y AS (SELECT r, count(*) AS n_dup, sum(list_sum(list_transform(regexp_extract_all(line, '{_WORD}'), lambda z: length(z)))) AS c FROM l WHERE place > 1 GROUP BY r),
+        m AS (
+            SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda z: length(z))), 0)::BIGINT AS chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                   coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(y.c, 0)::BIGINT AS line_chars, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, x.*
+            FROM w LEFT JOIN x USING (r) LEFT JOIN b USING (r) LEFT JOIN y USING (r)
+        ),
+        f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, chars AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR line_chars > {LINE_LIMIT}::DOUBLE * chars OR n_symbols > {SYMBOL_LIMIT}::DOUBLE * n_words OR {_LIMITS}) AS kept,
+               line_chars::DOUBLE / greatest(chars, 1) AS line_share, coalesce(c5, 0)::DOUBLE / greatest(chars, 1) AS gram_share_5, coalesce(c10, 0)::DOUBLE / greatest(chars, 1) AS gram_share_10
+        FROM f""",
+    "op7_suffix_dedup": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+        w AS (SELECT r, i, hash(substr(h, 2 * i + 1, {2 * LENGTH})) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
+        t AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+        s AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS new FROM t),
+        g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM s),
+        x AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY r, g),
+        y AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM x),
+        z AS (SELECT r, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head, max(b) AS tail, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM y JOIN d USING (r) GROUP BY r),
+        p AS (SELECT r, i, hash(ws[i:i + {PASSAGE - 1}]) AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - {PASSAGE - 2})) AS i FROM d WHERE len(ws) >= {PASSAGE})),
+        q AS (SELECT r, i FROM p SEMI JOIN (SELECT k FROM p GROUP BY k HAVING count(*) > 1) USING (k)),
+        n AS (SELECT r, sum(least({PASSAGE}, coalesce(next - i, {PASSAGE})))::BIGINT AS n_passage_words FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM q) GROUP BY r)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head || substr(h, 2 * tail + 1), h))) AS kept_sha256, coalesce(n_passage_words, 0) AS n_passage_words
+        FROM d LEFT JOIN z USING (r) LEFT JOIN n USING (r)""",
     "op9_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT AS h
             FROM documents
         ),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -150,4 +189,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                (size * (times + CASE WHEN upto <= goal OR 2 * upto - words <= 2 * goal THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM c""",
+    "op10_ngram_join": rf"""
+        WITH RECURSIVE t AS (
+            SELECT coalesce(text, '') AS t, min(doc_id) AS copy_id, count(*)::BIGINT AS n_copies,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws
+            FROM documents GROUP BY ALL
+        ),
+        c AS (
+            SELECT *, row_number() OVER () AS k,
+                   CASE WHEN len(ws) >= {GRAM} THEN list_distinct(list_transform(range(1, len(ws) - {GRAM - 2}), lambda i: array_to_string(ws[i:i + {GRAM - 1}], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g
+            FROM t
+        ),
+        e AS (SELECT k, len(g) AS n, unnest(g) AS g FROM c),
+        p AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) >= {THRESHOLD} * (a.n + b.n - count(*))),
+        r AS (SELECT k AS a, k AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+        m AS (SELECT r.a AS k, min(c.copy_id) AS class_id FROM r JOIN c ON c.k = r.b GROUP BY r.a),
+        l AS (SELECT a AS k, count(*)::BIGINT AS n_links FROM p GROUP BY a)
+        SELECT d.doc_id, m.class_id, c.copy_id, c.n_copies, coalesce(l.n_links, 0) AS n_links
+        FROM documents d JOIN c ON c.t = coalesce(d.text, '') JOIN m USING (k) LEFT JOIN l USING (k)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import free_prefix, written
 
 #: Bits of the 32-bit hash that each round of histograms resolves.
 ROUNDS = (12, 10, 10)
@@ -19,9 +19,9 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def id_hash(col: Column) -> Column:
-    """The first 32 bits of the MD5 of the value as text; a null counts as an empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+def id_hash(col: Column, text: Column) -> Column:
+    """The first 32 bits of the MD5 of the value as text, or for a null of the document's text."""
+    return F.conv(F.substring(F.md5(F.coalesce(col.cast("string"), text, F.lit(""))), 1, 8), 16, 10).cast("long")
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def mix_sources(
     :func:`targets` says what each gives.  Every document of a source is taken
     as often as its whole size fits into the target, and once more if its hash
     is below the bound of the rest.  The hash is of the id, so reruns agree;
-    rows of one id (null ids are one) are taken together.  Null texts have size
-    0; a source of size 0 has target 0; an empty table gives no rows.  Other
+    rows of one id are taken together, as are equal texts without an id.  Null
+    texts have size 0; a source of size 0 has target 0; an empty table gives no rows.  Other
     columns are ignored.  Returns doc_id, size, source_size, target, taken.
 
     The text is read once; what is kept of it is one narrow row per document.
@@ -121,11 +121,16 @@ def mix_sources(
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of ``df`` as :func:`mix_sources` takes them, each as often as it says; texts without words are taken as their hash says."""
+    """The rows of ``df`` as :func:`mix_sources` takes them, each as often as it says, with all their columns, whatever their names.
+
+    Texts without words, null ones too, are taken as their hash says; an empty table gives no rows.
+    """
+    own = free_prefix(df)
     plan = _plan(_sized(df, id_col, text, source), weights, share, cap)
-    rows = df.withColumn("_key", _key(F.col(f"`{source}`").cast("string"))).withColumn("_hash", id_hash(F.col(f"`{id_col}`")))
-    taken = _with_plan(rows, plan, "_key", "_hash", "_mix_")
-    return taken.where("_mix_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn(f"{own}key", _key(F.col(f"`{source}`").cast("string"))).withColumn(f"{own}hash", id_hash(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")))
+    taken = _with_plan(rows, plan, f"{own}key", f"{own}hash", own)
+    copies = F.explode(F.sequence(F.lit(1), F.col(f"{own}copies").cast("int")))
+    return taken.where(f"{own}copies > 0").withColumn(f"{own}copy", copies).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _key(source: Column) -> Column:
@@ -133,8 +138,8 @@ def _key(source: Column) -> Column:
 
 
 def _sized(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    sized = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`").cast("string")).alias("size"))
-    return written(sized.withColumn("key", _key(F.col("source"))).withColumn("hash", id_hash(F.col("doc_id"))), "sizes")
+    sized = df.select(id_hash(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")).alias("hash"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`").cast("string")).alias("size"))
+    return written(sized.withColumn("key", _key(F.col("source"))), "sizes")
 
 
 def _plan(sized: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
@@ -147,9 +152,10 @@ def _plan(sized: DataFrame, weights: Sequence[int], share: float, cap: float) ->
     return written(per.join(bounds, "key", "left").select("key", "source_size", "target", "times", "bound", "also"), "plan")
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, key: str = "key", hashed: str = "hash", mark: str = "") -> DataFrame:
-    """Adds source_size, target and copies (after ``mark``) to rows; the join is salted."""
-    plan = plan.select(F.col("key").alias("_k"), F.col("source_size").alias(f"{mark}source_size"), F.col("target").alias(f"{mark}target"), F.col("times").alias("_t"), F.col("bound").alias("_b"), F.col("also").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"))
-    more = F.when(F.col("_b").isNull(), 0).when((F.col(hashed) < F.col("_b")) | ((F.col(hashed) == F.col("_b")) & F.col("_a")), 1).otherwise(0)
-    out = rows.join(plan, (F.col(key) == F.col("_k")) & ((F.col(hashed) % SALT).cast("int") == F.col("_s")))
-    return out.withColumn(f"{mark}copies", F.col("_t") + more)
+def _with_plan(rows: DataFrame, plan: DataFrame, key: str = "key", hashed: str = "hash", own: str = "") -> DataFrame:
+    """Adds source_size, target and copies, after ``own``, to rows; the join is salted."""
+    k, t, b, a, s = (f"{own}_{x}" for x in ("key", "times", "bound", "also", "salt"))
+    plan = plan.select(F.col("key").alias(k), F.col("source_size").alias(f"{own}source_size"), F.col("target").alias(f"{own}target"), F.col("times").alias(t), F.col("bound").alias(b), F.col("also").alias(a), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(s))
+    more = F.when(F.col(b).isNull(), 0).when((F.col(hashed) < F.col(b)) | ((F.col(hashed) == F.col(b)) & F.col(a)), 1).otherwise(0)
+    out = rows.join(plan, (F.col(key) == F.col(k)) & ((F.col(hashed) % SALT).cast("int") == F.col(s)))
+    return out.withColumn(f"{own}copies", F.col(t) + more)

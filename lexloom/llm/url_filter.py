@@ -33,7 +33,8 @@ class Trie:
     """Rules under their reversed host labels, then under their path segments.
 
     A node is ``[children by label, path node]``; a path node is ``[children by
-    segment, {partial last segment: rule index}]``.  A segment ends with its
+    segment, {partial last segment: rule index}, their lengths from the
+    longest]``, so that of a url's segment only those lengths are looked at.  A segment ends with its
     slash; what follows the last slash of a rule's path is partial and fits any
     text that begins with it.  The rule of most host labels wins, then that of
     the longest path, then a block entry before an allow entry.
@@ -59,12 +60,13 @@ class Trie:
         for label in reversed(host.split(".")) if host else ():
             node = node[0].setdefault(label, [{}, None])
         if node[1] is None:
-            node[1] = [{}, {}]
+            node[1] = [{}, {}, []]
         at = node[1]
         *whole, rest = path.split("/")
         for segment in whole:
-            at = at[0].setdefault(segment, [{}, {}])
+            at = at[0].setdefault(segment, [{}, {}, []])
         at[1][rest] = index
+        at[2] = sorted({*at[2], len(rest)}, reverse=True)
 
     def size(self) -> int:
         return sum(200 + 4 * len(r) for _, r in self.rules)
@@ -74,12 +76,10 @@ class Trie:
         found = None
         parts = path.split("/")
         for i, segment in enumerate(parts):
-            tails = at[1]
-            if tails:
-                for k in range(len(segment), -1, -1):
-                    if segment[:k] in tails:
-                        found = tails[segment[:k]]
-                        break
+            for k in at[2]:
+                if k <= len(segment) and segment[:k] in at[1]:
+                    found = at[1][segment[:k]]
+                    break
             if i == len(parts) - 1 or segment not in at[0]:
                 break
             at = at[0][segment]

@@ -14,10 +14,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import compression_classifier as cc
-from lexloom.llm import ngram_join, quality_rules, source_mix, suffix_dedup, suffix_tree_lm
+from lexloom.llm import license_scan, ngram_join, quality_rules, source_mix, suffix_dedup, suffix_tree_lm
 from lexloom.llm.byte_bpe import bpe, char_classes, encode, load
 from lexloom.llm.bytetext import chunks
 from lexloom.llm.components import components
+import lexloom.llm.exact_topk as topk
 from lexloom.llm.exact_topk import exact_topk
 from lexloom.llm.license_scan import PHRASES, Automaton, scan_licenses
 from lexloom.llm.url_filter import Trie, judge_urls
@@ -86,7 +87,7 @@ def brute_url(url):
 
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "http://example.com", "http://example.com/", "https://a.EXAMPLE.com/en/1?x=/y#z", "http://www.example.com/en/a://b", "http://x.www.example.com/en/", "http://b.net/es/1", "http://b.net/es",
-            "http://notexample.com/en/", "http://q.org/prefix", "http://q.org/pr", "http://same.io/", "http://com/", "http://a.com?b", "http://a..com/", "x" * 5000 + "://a.com/"]
+            "http://notexample.com/en/", "http://q.org/prefix", "http://q.org/pr", "http://same.io/", "http://com/", "http://a.com?b", "http://a..com/", "x" * 5000 + "://a.com/", "http://q.org/" + "p" * 1_000_000, "http://example.com/en/" + "a/" * 300_000]
     urls += ["http://b.net/es/1"] * 3
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(df, RULES, keep=["page_id"]).collect()}
@@ -102,17 +103,24 @@ def test_url_filter(spark):
 # -- top k
 
 
-def test_exact_topk(spark):
+def test_exact_topk(spark, monkeypatch):
+    """Also in several groups of queries, over more partitions than are merged at once."""
     rows = [(i, [RNG.choice([-0.5, 0.25, 0.5, 1.0]) for _ in range(4)], 0) for i in range(120)]
-    rows += [(120, None, 0), (121, [1.0, None, 0.0, 0.0], 0), (122, [float("nan")] * 4, 0), (123, [float("inf")] * 4, 0), (None, [1.0] * 4, 0), (200, [1.0, 2.0], 0), (300, [], 0), rows[7]]
+    rows += [(120, None, 0), (121, [1.0, None, 0.0, 0.0], 0), (122, [float("nan")] * 4, 0), (123, [float("inf")] * 4, 0), (None, [1.0] * 4, 0), (200, [1.0, 2.0], 0), (300, [], 0)]
+    rows += [rows[7], rows[10], (-1, [1.0] * 4, 0), (-20, [1.0] * 4, 0), (7, [1.0] * 4, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    ok = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    want = set()
-    for q in [i for i in ok if i % 10 == 0]:
-        s = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))
-        want |= {(q, n, i, -x) for n, (x, i) in enumerate(s[:10], 1)}
+    ok = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, x in {r for r in ok if r[0] % 10 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in ok if i != q and len(v) == len(x))
+        want += [(q, n, i, -y) for n, (y, i) in enumerate(s[:10], 1)]
     got = [tuple(r) for r in exact_topk(df, df.where("vec_id % 10 = 0")).collect()]
-    assert set(got) == want and len(got) == len(want)
+    assert sorted(got) == sorted(want)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 200)
+    monkeypatch.setattr(topk, "TILE", 16)
+    again = [tuple(r) for r in exact_topk(df.repartition(40), df.where("vec_id % 10 = 0")).collect()]
+    assert sorted(again) == sorted(want)
     assert exact_topk(df.limit(0), df.limit(0)).collect() == []
     big = spark.createDataFrame([(0, [1e12, 3.0]), (1, [1e5, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in exact_topk(big, big.where("vec_id = 1"), scale=1.0).collect()] == [(1, 1, 0, 10**17 + 3)]
@@ -149,59 +157,99 @@ def test_quality_rules(docs, none):
 # -- language model
 
 
-def test_suffix_tree_lm(docs, none, spark):
-    got = suffix_tree_lm.lm_scores(docs).collect()
+def brute_lm(rows):
+    """Base score and score of each row, by dictionaries of tuples."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    docs_ = [(r[0], re.findall(rb"[^\x20\x09-\x0D]+", lowered(r[1]))) for r in ROWS]
-    c = collections.Counter(w for i, ws in docs_ if not held(i) for w in ws)
-    texts = sum(not held(i) for i, _ in docs_)
-    total, distinct = c.total() + texts, len(c) + 1
-    unit = lambda n: math.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-    want = [(i, held(i), len(w) + 1, sum(c[x] > 0 for x in w) + 1, total, round(sum(unit(c[x]) for x in w) + unit(texts), 6)) for i, w in docs_]
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(r.score <= 0 for r in got)
-    by = collections.defaultdict(set)
-    for r in got:
-        by[r.doc_id].add(round(r.score, 9))
-    assert len(by[3]) == 1
+    docs = [(i, re.findall(rb"[^\x20\x09-\x0D]+", lowered(t))) for i, t in rows]
+    train = [w for i, w in docs if not held(i)]
+    c, texts = collections.Counter(x for w in train for x in w), len(train)
+    total, distinct = c.total() + texts, len(c) + (texts > 0)
+    log = lambda n: math.log10(n + 0.5) - math.log10(total + 0.5 * (distinct + 1))
+
+    def ends(word):
+        h = next(chunks(pa.array([word.decode()]))).words(suffix_tree_lm.SPACED).hashes()
+        return int(suffix_tree_lm.mix(h ^ suffix_tree_lm._SEED)[0]) % suffix_tree_lm.PHRASE == 0
+
+    last = {x: ends(x) for _, w in docs for x in w}
+
+    def phrases(w):
+        out, now = [], []
+        for x in w:
+            now.append(x)
+            if last[x]:
+                out.append(tuple(now))
+                now = []
+        return [*out, (*now, "end")]
+
+    def grams(ph):
+        """(context, phrase) of each order at each place; None where the text is too short."""
+        line = ["begin", *ph]
+        return [[(tuple(line[i - d : i]), line[i]) if i >= d else None for d in range(3)] for i in range(1, len(line))]
+
+    n = collections.Counter(g for w in train for at in grams(phrases(w)) for g in at if g)
+    before = lambda ctx: texts if ctx == ("begin",) else n[ctx[:-1], ctx[-1]] if ctx else sum(x for (k, _), x in n.items() if not k)
+    size = {ctx: before(ctx) for ctx, _ in n}
+    known = {g: x for g, x in n.items() if x >= suffix_tree_lm.LEAST}
+    stats = collections.defaultdict(lambda: [0, 0, 0.0])
+    for (ctx, p), x in known.items():
+        one = stats[ctx]
+        one[0] += x
+        one[1] += 1
+        if ctx:
+            one[2] += x * (math.log2(x / size[ctx]) - math.log2(n[ctx[1:], p] / size[ctx[1:]]))
+    stay = {ctx for ctx, (m, k, bits) in stats.items() if not ctx or (bits >= suffix_tree_lm.DIVERGENCE * m and bits >= suffix_tree_lm.EVIDENCE * k)}
+    out = []
+    for i, w in docs:
+        score = 0.0
+        for at, p in zip(grams(phrases(w)), phrases(w)):
+            for g in reversed(at):
+                if g is None or g[0] not in stay:
+                    continue
+                m, k, _ = stats[g[0]]
+                if g in known:
+                    score += math.log10(known[g] / (size[g[0]] + k))
+                    break
+                score += math.log10((size[g[0]] - m + k) / (size[g[0]] + k))
+            else:
+                score += sum(log(texts if x == "end" else c[x]) for x in p)
+        base = sum(log(c[x]) for x in w) + log(texts)
+        out.append((i, held(i), len(w) + 1, sum(c[x] > 0 for x in w) + (texts > 0), total, round(base, 6), round(score, 6)))
+    return sorted(out, key=repr), stay
+
+
+@pytest.mark.parametrize("hot, part, least", [(1e-6, 16 << 20, None), (0.02, 300, -1.0)])
+def test_suffix_tree_lm(docs, none, spark, monkeypatch, hot, part, least):
+    """With all words broadcast and one part a task, and with most words joined, many small parts and every context kept."""
+    monkeypatch.setattr(suffix_tree_lm, "PART_BYTES", part)
+    monkeypatch.setattr(suffix_tree_lm, "HELD", part)
+    if least is not None:
+        monkeypatch.setattr(suffix_tree_lm, "DIVERGENCE", least)
+        monkeypatch.setattr(suffix_tree_lm, "EVIDENCE", least)
+    rounded = lambda rows: sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in rows), key=repr)
+    want, stay = brute_lm([r[:2] for r in ROWS])
+    assert {len(ctx) for ctx in stay} == ({0, 1} if least is None else {0, 1, 2})
+    assert rounded(suffix_tree_lm.lm_scores(docs, hot=hot, divergence=suffix_tree_lm.DIVERGENCE).collect()) == want
     assert suffix_tree_lm.lm_scores(none).collect() == []
-    only = spark.createDataFrame([(i, "a b") for i in range(60) if held(i)], "doc_id long, text string")
-    assert {(r.n_known, r.train_tokens) for r in suffix_tree_lm.lm_scores(only).collect()} == {(0, 0)}
-
+    only = spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
+    got = suffix_tree_lm.lm_scores(only).collect()
+    assert {(r.n_known, r.train_tokens) for r in got} == {(0, 0)} and rounded(got) == brute_lm([(r.doc_id, "a b") for r in got])[0]
 
-def test_suffix_tree_states():
-    """Scores by the tree equal those of the longest kept suffix of the history."""
-    text = pa.array(["abracadabra abra cadabra " * 30, "abba aba "])
-    c = next(chunks(text))
-    sym, start = suffix_tree_lm.symbols(c.words(suffix_tree_lm.SPACED))
-    code = suffix_tree_lm._grams(sym, start)
-    rows = []
-    for d in range(suffix_tree_lm.DEPTH + 1):
-        keys, n = suffix_tree_lm._combined(suffix_tree_lm._keyed(code, d), None)
-        rows += [(d, (int(k) & ((1 << 56) - 1)) >> 8, int(k) & 255, int(x)) for k, x in zip(keys, n)]
-    import numpy as np
 
-    tree = suffix_tree_lm.build_tree(*(np.array(col) for col in zip(*rows)))
-    assert np.allclose((10.0 ** tree.logp[:, :-1]).sum(1) + 10.0 ** tree.logp[:, -1] * (256 - tree.child.shape[1] + 1), 1, atol=1e-4)
-    s, total = bytes(sym), []
-    for a, b in itertools.pairwise(start.tolist()):
-        p = 0.0
-        for t in range(a + suffix_tree_lm.DEPTH, b):
-            node = 0
-            for k in range(1, suffix_tree_lm.DEPTH + 1):
-                to = tree.child[node, tree.symbol[s[t - k]]]
-                if to < 0:
-                    break
-                node = to
-            p += float(tree.logp[node, tree.symbol[s[t]]])
-        total.append(p)
-    assert np.allclose(tree.score(sym, start), total)
+def test_suffix_tree_knows_more_of_more_text(spark):
+    """What is learnt grows: contexts of a text seen twice are kept, and held-out copies score better than by the base."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(120)) for _ in range(60)]
+    rows = [(3 * i + k, t) for i, t in enumerate(texts) for k in range(3)]
+    got = suffix_tree_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 20 and sum(r.score for r in held) > 0.7 * sum(r.base_score for r in held)
+    assert sum(r.score > 0.5 * r.base_score for r in held) / len(held) > 0.6
 
 
 # -- licenses
 
 
-def test_license_scan(docs, none):
+def test_license_scan(docs, none, monkeypatch):
     got = scan_licenses(docs).collect()
     want = []
     for r in ROWS:
@@ -211,9 +259,14 @@ def test_license_scan(docs, none):
     assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=repr) == sorted(want, key=repr)
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
     assert scan_licenses(none).collect() == []
-    texts = ["x Released under the MIT License. y", "Released under the new MIT License", "the MIT", ("Permission is hereby granted, free of charge, " "to any person getting a copy of " "this software and associated documentation files, to " "deal in the Software without restriction, including " "without limitation the rights to use, copy, " "modify, merge, publish")]
+    texts = ["x Released under the MIT License. y", "Released under the new MIT License", "the MIT", "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense and sell copies of the Software, and to permit persons to do so"]
     df = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.labels for r in scan_licenses(df).orderBy("doc_id").collect()] == ["mit", "", "", "mit"]
+    header = license_scan.TEMPLATES["apache-2.0"][0]
+    df = docs.sparkSession.createDataFrame([(0, f"{header} code here {header} more code and text {header}")], "doc_id long, text string")
+    assert [(x.label, x.first, x.last, x.cover) for x in sorted(scan_licenses(df).first().spans)] == [("apache-2.0", i, i + 7, 1.0) for i in (0, 10, 22)]
+    monkeypatch.setattr(license_scan, "TEMPLATES", {})
+    assert {r.labels for r in scan_licenses(df).collect()} == {""}
 
 
 def test_automaton_matches():
@@ -425,9 +478,10 @@ def brute_near(rows, n, threshold):
     return sorted(((i, min(tops[root(t)], default=None), least[t], len(ids), links[t]) for t, ids in texts.items() for i in ids), key=repr)
 
 
-@pytest.mark.parametrize("block", [384, 2])
-def test_near_copies(docs, none, monkeypatch, block):
+@pytest.mark.parametrize("block, few", [(384, 300_000), (2, 0)])
+def test_near_copies(docs, none, monkeypatch, block, few):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", few)
     got = ngram_join.near_copies(docs).collect()
     assert sorted(((r.doc_id, r.class_id, r.copy_id, r.n_copies, r.n_links) for r in got), key=repr) == brute_near([r[:2] for r in ROWS], 3, 0.5)
     assert ngram_join.near_copies(none).collect() == []
@@ -451,10 +505,53 @@ def test_passage_shared_by_dissimilar_texts(spark):
     assert got == {i: (0, 1) if i < 2 else (i, 0) for i, _ in rows}
 
 
-def test_depth_shortens():
-    assert ngram_join.depth_for(0.9, 0.99) == 4
-    assert ngram_join.depth_for(0.5, 0.99) == 3
-    assert ngram_join.depth_for(0.05, 0.999999) == 1
+def test_forest(spark, monkeypatch):
+    """Neighbours and nodes of the sorted tries are those of a dictionary of prefixes, wherever the rows are cut into tasks."""
+    import numpy as np
+
+    def signed(t, path):
+        x = int(np.int64(np.uint64(sum(s << 16 * (3 - k) for k, s in enumerate(path)))))
+        return x
+
+    rows = [(i, [signed(t, [RNG.randrange(2) * 40000 for _ in range(4)]) for t in range(3)]) for i in range(200)]
+    forest = ngram_join.Forest(spark.createDataFrame(rows, "cls long, labels array<long>").repartition(5), 1)
+    for depth in range(1, 5):
+        nodes = collections.defaultdict(set)
+        for i, labels in rows:
+            for t, x in enumerate(labels):
+                nodes[t, (x % (1 << 64)) >> 16 * (4 - depth)].add(i)
+        got = collections.defaultdict(set)
+        for r in forest.members(depth).collect():
+            got[r.node].add(r.cls)
+        assert sorted(sorted(v) for v in got.values() if len(v) > 1) == sorted(sorted(v) for v in nodes.values() if len(v) > 1)
+        parent = {(k, i): (k, i) for k, v in nodes.items() for i in v}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        edges = {(r.a, r.b) for r in forest.neighbours(depth).collect()}
+        for k, v in nodes.items():
+            for a, b in itertools.combinations(sorted(v), 2):
+                if (a, b) in edges:
+                    parent[root((k, a))] = root((k, b))
+            assert len({root((k, i)) for i in v}) == 1
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity of 0.5 to 0.6 are found; prefixes are shortened for them."""
+    rng, rows, want = random.Random(3), [], {}
+    for i in range(300):
+        n = rng.randrange(40, 90)
+        words = [f"v{i}x{k}" for k in range(n)]
+        other = [*words[: round(n * rng.uniform(0.68, 0.76))], *(f"u{i}x{k}" for k in range(round(n * 0.26)))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = ({tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (words, other))
+        want[2 * i] = want[2 * i + 1] = int(len(a & b) >= 0.5 * len(a | b))
+    got = {r.doc_id: r.n_links for r in ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want.values()) > 200
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.995 * sum(want.values())
 
 
 def test_components(spark):
