@@ -8,8 +8,11 @@ rows by :func:`is_plain` instead.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,13 +62,41 @@ def plain_words(text: Column) -> Column:
     return F.when(text.rlike(_IDENTIFIER), F.flatten(F.transform(runs, _run_words))).otherwise(simple)
 
 
-def plain_grams(text: Column) -> Column:
-    """Marked character trigrams of a plain text."""
-    s = F.trim(F.regexp_replace(F.lower(text), r"[\t\n\x0B\f\r ]+", " "))
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    n = F.size(chars) - 2
-    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(F.lit(C.GRAM_MARK), a, b))
-    return F.when(n > 0, F.zip_with(pairs, F.slice(chars, 3, n), lambda ab, c: F.concat(ab, c))).otherwise(F.array().cast("array<string>"))
+def gram_lists(texts: list[str]) -> pa.Array:
+    """The marked character trigrams of each text, built as Arrow buffers: a few passes over all characters, no string by string."""
+    size = np.array([len(t) for t in texts], np.int64)
+    joined = "".join(texts)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+    width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    place = np.concatenate([[0], np.cumsum(width)])
+    last = np.cumsum(size)
+    begins = np.ones(len(code), bool)
+    for k in (1, 2):
+        begins[(last - k)[size >= k]] = False
+    at = np.flatnonzero(begins)
+    long = place[np.minimum(at + 3, len(code))] - place[at] + 1 if len(at) else at
+    to = np.concatenate([[0], np.cumsum(long)])
+    out = np.empty(int(to[-1]), np.uint8)
+    if len(at):
+        out[to[:-1]] = ord(C.GRAM_MARK)
+        for k in range(1, int(long.max())):
+            some = slice(None) if k < 4 else long > k
+            out[to[:-1][some] + k] = data[place[at][some] + k - 1]
+    cut = np.concatenate([[0], np.cumsum(np.maximum(size - 2, 0))])
+    strings = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(to), pa.py_buffer(out)])
+    if len(out) < 1 << 31:
+        strings = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(out)])
+    return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), strings)
+
+
+_SPACES = re.compile("[\\t\\n\\x0b\\f\\r ]+")
+
+
+@F.arrow_udf(_STRINGS)
+def plain_grams(text: pa.Array) -> pa.Array:
+    """Marked character trigrams of plain texts."""
+    return gram_lists([_SPACES.sub(" ", t.lower()).strip(" ") for t in text.to_pylist()])
 
 
 @F.pandas_udf(_STRINGS)
@@ -73,9 +104,9 @@ def python_words(text: pd.Series) -> pd.Series:
     return text.map(scalar.words)
 
 
-@F.pandas_udf(_STRINGS)
-def python_grams(text: pd.Series) -> pd.Series:
-    return text.map(scalar.char_grams)
+@F.arrow_udf(_STRINGS)
+def python_grams(text: pa.Array) -> pa.Array:
+    return gram_lists([scalar.squash(scalar.normalize(t)) for t in text.to_pylist()])
 
 
 @F.pandas_udf(T.StringType())
@@ -163,8 +194,14 @@ def content_hash(tokens: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of tokens as sets; of two empty ones 1."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    return jaccard_of_sets(F.array_distinct(a), F.array_distinct(b))
+
+
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """The same of arrays without repeats."""
+    common = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - common
+    return F.when(both == 0, F.lit(1.0)).otherwise(common / both)
 
 
 def _longest(token: Column, en: frozenset[str], ja: frozenset[str]) -> Column:

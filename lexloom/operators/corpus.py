@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import scalar
 from ..functions import text as T
 from .tokens import each, tokenized
 
 K1, B = 1.2, 0.75
-#: Terms of a query up to which they are a literal list and its table is broadcast.
+T_DOUBLE = DoubleType()
+#: Terms of a query up to which they are a literal list and their frequencies are gathered on the driver.
 LITERAL_TERMS = 20_000
 
 _QUERY = "term string, weight double"
@@ -86,6 +90,11 @@ class Corpus:
         self.postings().withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64))).repartition("part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
         self.docs().write.parquet(f"{path}/docs")
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Saved:
+        """The corpus that :meth:`save` wrote."""
+        return Saved(spark.read.parquet(f"{path}/postings").drop("part"), spark.read.parquet(f"{path}/docs"))
+
     # -- BM25
 
     def bm25(self, query: str) -> DataFrame:
@@ -105,16 +114,16 @@ class Corpus:
         for term, weight in query:
             if 0 < weight < float("inf"):
                 best[term] = max(best.get(term, 0.0), float(weight))
-        query_rows = self.base.sparkSession.createDataFrame(sorted(best.items()), _QUERY)
         if len(best) > LITERAL_TERMS:
+            query_rows = self.base.sparkSession.createDataFrame(sorted(best.items()), _QUERY)
             return self._scored(self.postings(), query_rows, self.docs())
-        # one narrow row per document, kept for the four uses of it, so texts are tokenized once
         name = (lambda t: t["token"]) if self.weighted else (lambda t: t)
         hits = F.filter("tokens", lambda t: name(t).isin(*sorted(best)) if best else F.lit(False))
-        narrow = Corpus(self.base.select("doc_id", F.size("tokens").cast("double").alias("dl"), hits.alias("tokens")).persist(), self.weighted)
-        narrow.docs = lambda: narrow.base.select("doc_id", "dl")  # type: ignore[method-assign]
-        rows = each(narrow.base, F.col("tokens"), "t", "doc_id", "dl")
-        return narrow._scored(narrow._counted(rows), F.broadcast(query_rows), narrow.docs())
+        rows = self.base.select("doc_id", F.size("tokens").cast("double").alias("dl"), hits.alias("hits"))
+        n, avgdl, df = _gathered(rows, name)
+        idf = {t: float(np.log((n - d + 0.5) / (d + 0.5) + 1.0)) * best[t] for t, d in df.items()}
+        score = _scorer(idf, avgdl, self.weighted)
+        return rows.select("doc_id", score(F.col("hits"), F.col("dl")).alias("score"))
 
     def _counted(self, rows: DataFrame) -> DataFrame:
         tf = F.sum("t.weight") if self.weighted else F.count("*").cast("double")
@@ -144,6 +153,37 @@ class Corpus:
         return self.stats().select("avgdl").scalar()
 
 
+def _gathered(rows: DataFrame, name) -> tuple[int, float, dict[str, int]]:
+    """The number of documents, their mean length, and in how many each term of ``hits`` stands; one pass, pre-aggregated."""
+    terms = F.array_distinct(F.transform("hits", name))
+    each_one = F.explode(F.concat(F.array(F.lit(None).cast("string")), terms))
+    per = rows.select("dl", each_one.alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).collect()
+    total = next(((r["n"], r["dl"]) for r in per if r["term"] is None), (0, 0.0))
+    return total[0], total[1] / max(total[0], 1), {r["term"]: r["n"] for r in per if r["term"] is not None}
+
+
+def _scorer(idf: dict[str, float], avgdl: float, weighted: bool):
+    """BM25 of a row's hits, of a document of length dl; a row is scored by itself, so nothing is shuffled."""
+
+    @F.arrow_udf(T_DOUBLE)
+    def score(hits: pa.Array, dl: pa.Array) -> pa.Array:
+        count = np.asarray(hits.value_lengths()).astype(np.int64)
+        flat = hits.flatten()
+        tokens, weight = (flat.field(0), np.asarray(flat.field(1))) if weighted else (flat, None)
+        codes = tokens.dictionary_encode()
+        names, code = codes.dictionary.to_pylist(), np.asarray(codes.indices).astype(np.int64)
+        doc = np.repeat(np.arange(len(count)), count)
+        key, back = np.unique(doc * max(len(names), 1) + code, return_inverse=True)
+        tf = np.bincount(back, weights=weight, minlength=len(key)).astype(float)
+        at, term = key // max(len(names), 1), key % max(len(names), 1)
+        worth = np.array([idf[t] for t in names] or [0.0])[term] if len(key) else tf
+        length = np.asarray(dl)[at]
+        part = worth * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * length / (avgdl or 1.0)))
+        return pa.array(np.bincount(at, weights=part, minlength=len(count)).astype(float))
+
+    return score
+
+
 def bm25_part(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
     """A term's share of a document's score."""
     idf = F.log((n - df + 0.5) / (df + 0.5) + 1.0)
@@ -160,6 +200,37 @@ def top(scores: DataFrame, k: int, score: str = "score", tie: str = "doc_id", by
     return scores.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+class Saved(Corpus):
+    """A corpus read back from its postings, so that no text is tokenized again."""
+
+    def __init__(self, postings: DataFrame, docs: DataFrame):
+        self.rows, self.lengths, self.weighted = postings, docs, False
+
+    def docs(self) -> DataFrame:
+        return self.lengths
+
+    def postings(self, terms: Sequence[str] | None = None) -> DataFrame:
+        return self.rows if terms is None else self.rows.where(F.col("term").isin(*terms) if terms else F.lit(False))
+
+    def document_frequency(self) -> DataFrame:
+        return self.rows.groupBy("term").agg(F.count("*").alias("df"))
+
+    def size(self) -> int:
+        return self.lengths.count()
+
+    def is_empty(self) -> bool:
+        return not self.lengths.limit(1).count()
+
+    def bm25_weighted_tokens(self, query: Iterable[tuple[str, float]]) -> DataFrame:
+        best: dict[str, float] = {}
+        for term, weight in query:
+            if 0 < weight < float("inf"):
+                best[term] = max(best.get(term, 0.0), float(weight))
+        rows = self.rows.sparkSession.createDataFrame(sorted(best.items()), _QUERY)
+        few = len(best) <= LITERAL_TERMS
+        return self._scored(self.postings(sorted(best)) if few else self.rows, F.broadcast(rows) if few else rows, self.lengths)
+
+
 class Scorer(Protocol):
     """What ranks documents for a query; an embedding scorer would fit as well."""
 

@@ -9,17 +9,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Most bytes of texts that go to a Python worker at once; their trigrams are many times as large.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Limits the session's Arrow batches, so that the tokens of a batch fit in a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
+
 
 def tokenized(df: DataFrame, text: str = "text", parts: Sequence[str] = ("words", "grams")) -> DataFrame:
     """Adds ``words`` and ``grams`` (those asked for), arrays in order with repeats, to every row.
 
-    Plain texts are tokenized by column expressions, others by Arrow functions;
-    each row takes one way, and nothing is shuffled.  A null text has none.
+    The words of plain texts are found by column expressions, those of others by
+    Arrow functions, trigrams by an Arrow function over bytes; each row takes
+    one way, and nothing is shuffled.  A null text has none.
     Ask only for what is used: trigrams are many times the words.
     """
     clash = set(parts) & set(df.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already")
+    small_batches(df)
     col = T.text_of(F.col(f"`{text}`"))
     native = {"words": T.plain_words(col), "grams": T.plain_grams(col)}
     python = {"words": T.python_words(col), "grams": T.python_grams(col)}

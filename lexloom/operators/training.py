@@ -52,9 +52,9 @@ def _line_samples(line: pd.Series) -> pd.Series:
 
 
 def training_samples(lines: DataFrame, line: str = "line", order: str = "line_no") -> DataFrame:
-    """(sample_id, features, label) of all lines; ids follow the lines."""
+    """(sample_id, features, label) of all lines; an id is the line's number and the place in the line, so ids follow the lines."""
     rows = lines.select(F.col(order).alias("n"), F.posexplode(_line_samples(F.col(line))).alias("i", "s"))
-    return rows.select((F.col("n").cast("long") * (1 << 20) + F.col("i")).alias("sample_id"), "s.features", "s.label")
+    return rows.select(F.struct("n", "i").alias("sample_id"), "s.features", "s.label")
 
 
 @dataclass

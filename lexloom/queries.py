@@ -173,8 +173,13 @@ def token_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("token", T.is_stopword(F.col("token")).alias("is_stopword"), T.is_gram(F.col("token")).alias("is_gram"))
 
 
-@query(f"SELECT item_id, {_sql_fnv('text')} AS fnv FROM benchmark")
+@query()
 def fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.fnv1a_hex(F.encode(T.text_of(F.col("text")), "UTF-8")).alias("fnv"))
+
+
+@query(f"SELECT item_id, {_sql_fnv('text')} AS fnv FROM benchmark")
+def fnv1a_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select("item_id", T.fnv1a_hex(F.encode("text", "UTF-8")).alias("fnv"))
 
 
@@ -182,10 +187,15 @@ def fnv1a(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH w AS (SELECT item_id, {_sql_words('text')} AS words, {_sql_grams('text')} AS grams FROM benchmark),
     j AS (SELECT item_id, array_to_string(list_concat(words, grams), ' ') AS text FROM w)
     SELECT item_id, {_sql_fnv('text')} AS content_hash FROM j""")
-def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+def content_hash_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.content_hashes(_t(spark, sf_dir, "benchmark")).select("item_id", "content_hash")
 
 
+@query()
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.content_hashes(_docs(spark, sf_dir)).select("doc_id", "content_hash")
+
+
 @query(f"""
     WITH {_WG} SELECT min(doc_id) AS doc_id, count(*) AS copies FROM t GROUP BY array_to_string(tokens, ' ')""")
 def dedup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,13 +203,12 @@ def dedup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_WG}, s AS (SELECT doc_id, list_distinct(tokens) AS s FROM t)
-    SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END, 6) AS score
-    FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
+    WITH {_WG}, s AS (SELECT doc_id, list_distinct(tokens) AS s FROM t),
+    q AS (SELECT item_id, list_distinct(list_concat({_sql_words('text')}, {_sql_grams('text')})) AS s FROM benchmark),
+    x AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM s), y AS (SELECT item_id, len(s) AS m, unnest(s) AS token FROM q)
+    SELECT item_id AS query_id, doc_id, round(count(*)::DOUBLE / (n + m - count(*)), 6) AS score FROM x JOIN y USING (token) GROUP BY item_id, doc_id, n, m""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = S.token_sets(_docs(spark, sf_dir))
-    left, right = sets.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    return left.join(right, "b").select("a", "b", _r(T.jaccard(F.col("ta"), F.col("tb")), "score"))
+    return S.jaccard_against(_docs(spark, sf_dir), _t(spark, sf_dir, "benchmark"), query_id="item_id").select("query_id", "doc_id", _r(F.col("score"), "score"))
 
 
 @query("SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 1.0), (2, 0.0), (3, 0.294118), (4, 1.0)) v(pair_id, score)")
@@ -332,14 +341,14 @@ def cooccurrence_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH w AS (SELECT item_id AS doc_id, {_sql_words("coalesce(text, '')")} AS words FROM benchmark), {_CONTENT},
+    WITH {_W}, {_CONTENT},
     i AS (SELECT doc_id, words, len(words) AS n, unnest(range(1, len(words) + 2 - least(4, len(words)))) AS i FROM c WHERE len(words) >= 2),
     v AS (SELECT doc_id, i, words[i:i + least(4, n) - 1] AS v FROM i),
     p AS (SELECT doc_id, i, unnest(v) AS t, unnest(range(len(v))) AS at FROM v),
     e AS (SELECT x.doc_id, x.t AS a, y.t AS b FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.i = y.i AND x.at <> y.at AND x.t <> y.t)
-    SELECT doc_id AS item_id, a, b, count(*)::DOUBLE AS w FROM e GROUP BY ALL""")
+    SELECT doc_id, a, b, count(*)::DOUBLE AS w FROM e GROUP BY ALL""")
 def cooc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.cooccurrence_edges(_t(spark, sf_dir, "benchmark"), 4, "item_id").withColumnRenamed("doc_id", "item_id")
+    return K.cooccurrence_edges(_docs(spark, sf_dir), 4)
 
 
 @query()
@@ -419,7 +428,7 @@ def ja_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ja_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.training_samples(_lines(spark)).select("sample_id", F.array_join("features", " ").alias("features"), "label")
+    return M.training_samples(_lines(spark)).select(F.col("sample_id.n").alias("line_no"), F.col("sample_id.i").alias("place"), F.array_join("features", " ").alias("features"), "label")
 
 
 @query()

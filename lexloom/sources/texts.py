@@ -57,12 +57,12 @@ def expand_paths(paths: list[str]) -> list[str]:
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(line_no, line) of files of words parted by spaces; comments and blank lines are left out.
 
-    The number gives the file and the line's place in it.  A file that doesn't
+    The number is a pair of the file's and the line's place in it.  A file that doesn't
     end in a line break doesn't run into the next.
     """
     files = expand_paths(paths)
     parts = [
-        spark.read.text(f).withColumn("line_no", F.monotonically_increasing_id() + F.lit(i << 40)).select("line_no", F.trim(F.col("value")).alias("line"))
+        spark.read.text(f).withColumn("line_no", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("at"))).select("line_no", F.trim(F.col("value")).alias("line"))
         for i, f in enumerate(files)
     ]
     out = parts[0]
