@@ -8,20 +8,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext
 from .bytetext import SPACED, U64, Chunk, chunks, mix
+from .difference_cover import repeated
 from .store import drop, freed, trim, written
 
 #: Bytes of the shortest repeat; words of the shortest passage: over 50, less the two at its ends, which may be joined to their neighbours' text.
 LENGTH, PASSAGE = 400, 49
 #: Most bytes of contexts of a key in a suffix array; bytes in an array of several keys.
 TASK_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
-#: Numbers of rows, and bytes of what goes with them, that may be broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+#: Numbers of rows that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Occurrences from which a context is joined by broadcast are this share of all, so there are few such contexts.
 HOT_SHARE = 1e-4
 
@@ -243,19 +244,16 @@ def _runs(windows: np.ndarray) -> bytes:
     return np.stack([windows[cut[:-1]], windows[cut[1:] - 1]], 1).astype("<i4").tobytes()
 
 
-def _beside(docs: DataFrame, per: DataFrame, size: Column) -> tuple[DataFrame, DataFrame]:
+def _beside(docs: DataFrame, per: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` with what ``per`` has for them, and the other rows.
 
-    Small tables are broadcast.  Of larger ones the numbers of rows are, so that
-    only texts that have something are shuffled; beyond that all are.
+    Only texts that have something are shuffled: the numbers of their rows are
+    broadcast, or if there are too many the texts are parted by a join.
     """
-    n, total = per.agg(F.count("*"), F.coalesce(F.sum(size + 16), F.lit(0))).first()
-    if total <= BROADCAST_BYTES:
-        return docs.join(F.broadcast(per), "row"), docs.join(F.broadcast(per.select("row")), "row", "left_anti")
-    if n <= BROADCAST_ROWS:
-        ids = F.broadcast(per.select("row"))
-        return docs.join(ids, "row", "left_semi").join(per, "row"), docs.join(ids, "row", "left_anti")
-    return docs.join(per, "row"), docs.join(per.select("row"), "row", "left_anti")
+    ids = per.select("row")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "row", "left_semi").join(per, "row"), docs.join(ids, "row", "left_anti")
 
 
 def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str) -> DataFrame:
@@ -276,7 +274,7 @@ def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str) ->
                         out["bytes"].append(sym.cut(i, x["lo"], x["n"] - 1 + length))
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
 
-    some, _ = _beside(docs.select("row", "text"), per, F.size("cuts") * 48)
+    some, _ = _beside(docs.select("row", "text"), per)
     return some.mapInArrow(freed(run), "key long, ctx long, n long, bytes binary")
 
 
@@ -303,28 +301,26 @@ def _sorted_runs(contexts: DataFrame, length: int, unit: str, buckets: int) -> D
     return contexts.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(run, _RUNS)
 
 
-def _counted_runs(contexts: DataFrame, length: int, unit: str) -> DataFrame:
-    """The same for keys of very many contexts: windows are named by 128-bit hashes and counted, so no task holds a key."""
+def _spread_runs(contexts: DataFrame, length: int, unit: str) -> DataFrame:
+    """The same for keys of more contexts than a task may hold: their suffixes are sorted over the cluster."""
 
-    def run(batches):
+    def numbers(batches):
         for b in batches:
             for i in range(b.num_rows):
-                values = mix(np.frombuffer(b.column("bytes")[i].as_buffer(), _DTYPE[unit]).astype(np.uint64))
-                at = np.arange(b.column("n")[i].as_py())
-                one, two = (_span(_prefix(v), at, at + length) for v in (values, mix(values)))
-                cols = [pa.array(np.full(len(at), b.column(c)[i].as_py(), np.int64)) for c in ("key", "ctx")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["key", "ctx", "at", "h1", "h2"])
+                values = np.frombuffer(b.column("bytes")[i].as_buffer(), _DTYPE[unit]).astype(np.uint64)
+                symbols = (values >> U64(unit != "bytes")).astype(np.int64) + 1
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("seq", "key", "ctx", "n")), pa.array([symbols])], names=["seq", "key", "ctx", "owned", "symbols"])
 
-    windows = written(contexts.mapInArrow(run, "key long, ctx long, at long, h1 long, h2 long"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").drop("times")
-    hits = windows.join(twice, ["h1", "h2"]).groupBy("key", "ctx").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    rows = contexts.withColumn("seq", F.monotonically_increasing_id()).mapInArrow(freed(numbers), "seq long, key long, ctx long, owned long, symbols array<long>")
+    rows = written(rows, "sequences")
+    hits = repeated(rows.select("seq", "owned", "symbols"), length).join(rows.select("seq", "key", "ctx"), "seq")
 
     def pack(batches):
         for b in batches:
             runs = [_runs(np.array(x, np.int64)) for x in b.column("at").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("ctx"), pa.array(runs, pa.binary())], names=["key", "ctx", "runs"])
 
-    return hits.mapInArrow(pack, _RUNS)
+    return hits.select("key", "ctx", "at").mapInArrow(freed(pack), _RUNS)
 
 
 def _spans(docs: DataFrame, length: int, unit: str) -> DataFrame:
@@ -344,7 +340,7 @@ def _spans(docs: DataFrame, length: int, unit: str) -> DataFrame:
     runs = _sorted_runs(few, length, unit, max(1, int(total) // (2 * TASK_BYTES)))
     many = reps.where(F.col("width") > TASK_BYTES)
     if open_keys.where(F.col("width") > TASK_BYTES).limit(1).count():
-        runs = runs.unionByName(_counted_runs(_context_bytes(docs, many, length, unit), length, unit))
+        runs = runs.unionByName(_spread_runs(_context_bytes(docs, many, length, unit), length, unit))
     runs = written(runs, "runs")
     settled = contexts.join(runs, ["key", "ctx"], "left").where("times > 1 OR runs IS NOT NULL").select("key", "ctx", "times", F.when(F.col("times") == 1, F.col("runs")).alias("runs"))
     settled = written(settled, "settled")
@@ -413,8 +409,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     whose anchor stands once are unique.  Contexts of anchors that are equal as
     a whole are settled by counting.  The rest, one of each kind, is sorted by
     the difference-cover algorithm in buckets of equal anchors, and neighbours
-    are compared; a key of more than TASK_BYTES goes by counted hashes instead,
-    so no task holds an unbounded group.
+    are compared; keys of more than TASK_BYTES are sorted by the same algorithm
+    with every step spread over the cluster, so no task holds an unbounded
+    group.
     """
     names = {f"_carry{i}": c for i, c in enumerate(carry)}
     if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "text"} & set(carry):
@@ -427,7 +424,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     else:
         spans = spans.withColumn("passages", F.lit(None).cast("binary"))
     spans = written(spans, "ranges")
-    some, others = _beside(docs, spans, F.coalesce(F.length("ranges"), F.lit(0)) + F.coalesce(F.length("passages"), F.lit(0)))
+    some, others = _beside(docs, spans)
     joined = some.unionByName(others, allowMissingColumns=True).drop("row")
     keep = [c for c in joined.columns if c not in ("text", "ranges", "passages")]
     schema = T.StructType([joined.schema[c] for c in keep])

@@ -11,10 +11,11 @@ import zlib
 
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lexloom.llm import compression_classifier as cc
-from lexloom.llm import license_scan, ngram_join, quality_rules, source_mix, suffix_dedup, suffix_tree_lm
+from lexloom.llm import difference_cover, license_scan, ngram_join, quality_rules, source_mix, suffix_dedup, suffix_tree_lm
 from lexloom.llm.byte_bpe import bpe, char_classes, encode, load
 from lexloom.llm.bytetext import chunks
 from lexloom.llm.components import components
@@ -348,7 +349,6 @@ def test_suffix_dedup(docs, none, monkeypatch, task, few):
     """In one array and in many, with what is joined broadcast and shuffled."""
     monkeypatch.setattr(suffix_dedup, "TASK_BYTES", task)
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", few)
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", few)
     rows = [r[:2] for r in ROWS]
     both = [tuple(r) for r in suffix_dedup.suffix_dedup(docs, length=60, passage=9).collect()]
     assert sorted((r[:5] for r in both), key=repr) == brute_repeats(rows, 60)
@@ -379,9 +379,39 @@ def test_suffix_array():
             assert suffix_dedup.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(n), key=lambda i: s[i:])
 
 
+@pytest.mark.parametrize("length", [2, 11])
+def test_difference_cover_over_tasks(spark, length):
+    """Suffixes that differ in their first symbols are in order, and repeated windows those of a dictionary."""
+    seqs = [[RNG.randrange(1, 4) for _ in range(RNG.randrange(0, 60))] for _ in range(25)]
+    seqs += [seqs[0][:40] + [9] * 5, [1] * 50, [2, 1] * 30, [], [3]]
+    rows = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(seqs)], "seq long, owned long, symbols array<long>").repartition(4)
+    got = {r.seq: r.ranks for r in difference_cover.ranks(rows.select("seq", "symbols"), length).collect()}
+    order = sorted((got[i][k], i, k) for i, s in enumerate(seqs) for k in range(len(s)))
+    heads = [seqs[i][k : k + length] for _, i, k in order]
+    assert heads == sorted(heads)
+    count = collections.Counter(tuple(s[k : k + length]) for s in seqs for k in range(len(s) - length + 1))
+    want = {i: [k for k in range(len(s) - length + 1) if count[tuple(s[k : k + length])] > 1] for i, s in enumerate(seqs)}
+    assert {r.seq: r["at"] for r in difference_cover.repeated(rows, length).collect()} == {i: v for i, v in want.items() if v}
+
+
 # -- classifier
 
 
+def brute_score(model, text):
+    """The score by the definition: compressed sizes under both dictionaries, block by block, and the logistic curve."""
+    data, opts = text.encode(), {"level": cc.LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
+    size = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **opts) for d in (model.good, model.bad)]
+    parts = [data[i : i + cc.BLOCK] for i in range(0, len(data), cc.BLOCK)]
+    good, bad = ([len(c.compress(x)) for x in parts] for c in size)
+    if parts:
+        worst = min((b - g) / max(b, g) * min(1.0, 4 * len(x) / cc.BLOCK) for g, b, x in zip(good, bad, parts))
+        row = [(sum(bad) - sum(good)) / max(sum(bad), sum(good)), worst, min(sum(good), sum(bad)) / len(data), 0.0]
+    else:
+        row = [0.0, 0.0, 0.0, 1.0]
+    z = model.weights[-1] + sum(w * (x - m) / s for w, x, m, s in zip(model.weights, row, model.mean, model.scale))
+    return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+
 def test_quality_classifier(spark, none):
     good = ["the quiet river runs through the green valley and over the old stone bridge " * RNG.randrange(1, 5) + str(i) for i in range(150)]
     bad = [" ".join(RNG.choice(["$$$", "###", "BUY!!", "CLICK!!", "%%%"]) for _ in range(40)) + str(i) for i in range(150)]
@@ -396,6 +426,8 @@ def test_quality_classifier(spark, none):
     assert held and all(r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in got)
     assert sum(r.predicted == (r.doc_id < 1000) for r in held) / len(held) > 0.95
     assert len({r.score for r in got if r.doc_id in (5000, 5001)}) == 1
+    text = {i: t for i, t, _ in rows if i is not None}
+    assert all(abs(r.score - brute_score(model, text[r.doc_id] or "")) < 1e-9 for r in got if r.doc_id is not None)
     assert cc.classify(none, model).collect() == []
     empty = cc.fit(df, labels.limit(0))
     assert {r.score for r in cc.classify(df, empty).collect()} == {0.5}
@@ -572,18 +604,38 @@ def test_pipeline(spark, tmp_path):
         t = " ".join(f"{RNG.choice(['river', 'valley', 'stone', 'bridge', 'forest'])}{RNG.randrange(4000)}" for _ in range(80))
         rows.append((i, t, "en", f"s{i % 3}"))
     rows += [(1000 + i, " ".join(RNG.choice(["$$$", "###!!", "%%%"]) for _ in range(60)) + str(i), "en", "s1") for i in range(60)]
+    passage = " ".join(f"shared{i}" for i in range(52))
+    rows += [(500 + i, f"{rows[i][1][:200]} {passage} {' '.join(f'more{i}x{k}' for k in range(200))}", "en", "s2") for i in (50, 60)]
     rows += [(2000 + i, rows[i][1], "en", "s0") for i in range(10)] + [(3000, None, "en", None), (3001, "", None, "s1")]
     clash = "row long, n_bytes int, score double, key string, md5 string"
     df = spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 0.5, None, "m") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + clash)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(r[0], 0 if 1000 <= r[0] < 2000 else 1) for r in rows if r[0] < 2000], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, columns = spark.read.parquet(f"{tmp_path}/documents.parquet"), df.columns
+    model = cc.fit(df, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    rows_in = docs.collect()
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         out.write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         assert i == 4 or docs.columns == columns
-        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        before, have = rows_in, sorted(docs.collect(), key=repr)
+        ids = {r.doc_id for r in have}
+        if i == 0:
+            assert ids == {r.doc_id for r in before if brute_score(model, r.text or "") >= cc.THRESHOLD}
+        if i == 1:
+            assert ids == {c for _, c, *_ in brute_near([(r.doc_id, r.text) for r in before], 3, 0.5)}
+        if i == 2:
+            left = {r[0]: r[4] for r in brute_passages([(r.doc_id, r.text) for r in before], suffix_dedup.PASSAGE)}
+            assert all(left[r.doc_id] == hashlib.sha256(r.text.encode()).hexdigest() and r.n_chars == len(r.text) for r in have)
+            assert set(left) - ids == {r.doc_id for r in before if not words_of(r.text)}
+        if i == 3:
+            taken = {r.doc_id: r.taken // r.size for r in source_mix.mix_sources(spark.createDataFrame(before, docs.schema)).collect() if r.size}
+            assert collections.Counter(r.doc_id for r in have) == collections.Counter({i: n for i, n in taken.items() if n})
+        if i == 4:
+            text = {r.doc_id: r.text for r in before}
+            assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in have)
+        rows_in = have
         if i == 0:
             assert not ids & set(range(1000, 1060)) and set(range(120)) <= ids
         if i in (1, 2):
