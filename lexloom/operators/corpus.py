@@ -7,16 +7,15 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import scalar
 from ..functions import text as T
 from .tokens import each, tokenized
 
 K1, B = 1.2, 0.75
-T_DOUBLE = DoubleType()
 #: Terms of a query up to which they are a literal list and their frequencies are gathered on the driver.
 LITERAL_TERMS = 20_000
 
@@ -146,6 +145,61 @@ class Corpus:
         weighed = postings.join(df, "term").select("doc_id", "term", part.alias("part"))
         return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
+    def bm25_batch_top(self, queries: DataFrame, k: int, id_col: str = "query_id", text: str = "text", digits: int | None = None) -> DataFrame:
+        """The ``k`` documents of the highest score for each query, ties to the lesser doc_id; scores rounded to ``digits`` before they are compared.
+
+        Queries of up to LITERAL_TERMS different terms are broadcast: documents
+        are scored where they are, against all queries at once, and only the
+        best of each batch are shuffled.  More go by :meth:`bm25_batch`.
+        """
+        asked = tokenized(queries.select(F.col(f"`{id_col}`").alias("query_id"), F.col(f"`{text}`").alias("text")))
+        terms = each(asked, F.array_distinct(F.concat("words", "grams")), "term", "query_id").distinct()
+        vocabulary = [r["term"] for r in terms.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+        if len(vocabulary) > LITERAL_TERMS or self.weighted:
+            scores = self.bm25_batch(queries, id_col, text)
+            return top(scores if digits is None else scores.withColumn("score", F.round("score", digits)), k, by="query_id")
+        rows = self.base.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.filter("tokens", lambda t: t.isin(*vocabulary) if vocabulary else F.lit(False)).alias("hits"))
+        n, avgdl, df = _gathered(rows, lambda t: t)
+        pairs = terms.where(F.col("term").isin(*df) if df else F.lit(False)).toArrow()
+        ids = pairs.column("query_id").combine_chunks().unique()
+        number = {t: i for i, t in enumerate(df)}
+        query = np.asarray(pairs.column("query_id").combine_chunks().dictionary_encode().indices).astype(np.int64)
+        term = np.array([number[t] for t in pairs.column("term").to_pylist()], np.int64)
+        order = np.argsort(term, kind="stable")
+        query, first = query[order], np.searchsorted(term[order], np.arange(len(number) + 1))
+        idf = np.log((n - np.array(list(df.values()), float) + 0.5) / (np.array(list(df.values()), float) + 0.5) + 1.0)
+        shared = self.base.sparkSession.sparkContext.broadcast((number, query, first, idf))
+        n_queries = len(ids)
+
+        def run(batches):
+            number, query, first, idf = shared.value
+            for b in batches:
+                doc, term, tf = _term_counts(b.column("hits"))
+                if not len(doc):
+                    continue
+                names, term = term
+                term = np.array([number[t] for t in names], np.int64)[term]
+                length = b.column("dl").to_numpy()[doc]
+                part = idf[term] * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * length / (avgdl or 1.0)))
+                size = first[term + 1] - first[term]
+                at = np.repeat(first[term], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                cell = np.repeat(doc, size) * n_queries + query[at]
+                score = np.bincount(cell, weights=np.repeat(part, size), minlength=b.num_rows * n_queries).reshape(-1, n_queries)
+                score = score if digits is None else np.round(score, digits)
+                by_id = np.asarray(pc.sort_indices(b.column("doc_id")))
+                best = by_id[np.argsort(-score[by_id], axis=0, kind="stable")[:k]]
+                value = np.take_along_axis(score, best, 0)
+                some = np.zeros((b.num_rows, n_queries), bool)
+                some.reshape(-1)[cell] = True
+                keep = np.take_along_axis(some, best, 0)
+                q = np.broadcast_to(np.arange(n_queries), best.shape)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(q), b.column("doc_id").take(pa.array(best[keep])), pa.array(value[keep])], names=["q", "doc_id", "score"])
+
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        found = rows.mapInArrow(run, f"q long, doc_id {kind}, score double")
+        named = self.base.sparkSession.createDataFrame(pa.table({"q": pa.array(np.arange(n_queries)), "query_id": ids}))
+        return top(found, k, by="q").join(F.broadcast(named), "q").select("query_id", "doc_id", "score")
+
     def _n(self) -> Column:
         return self.stats().select("n").scalar()
 
@@ -162,24 +216,28 @@ def _gathered(rows: DataFrame, name) -> tuple[int, float, dict[str, int]]:
     return total[0], total[1] / max(total[0], 1), {r["term"]: r["n"] for r in per if r["term"] is not None}
 
 
+def _term_counts(hits: pa.Array, weighted: bool = False) -> tuple[np.ndarray, tuple[list[str], np.ndarray], np.ndarray]:
+    """Row, term (names and numbers) and frequency of the different terms of each row."""
+    count = np.asarray(hits.value_lengths()).astype(np.int64)
+    flat = hits.flatten()
+    tokens, weight = (flat.field(0), np.asarray(flat.field(1))) if weighted else (flat, None)
+    codes = tokens.dictionary_encode()
+    names = codes.dictionary.to_pylist()
+    key, back = np.unique(np.repeat(np.arange(len(count)), count) * max(len(names), 1) + np.asarray(codes.indices).astype(np.int64), return_inverse=True)
+    tf = np.bincount(back, weights=weight, minlength=len(key)).astype(float)
+    return key // max(len(names), 1), (names, key % max(len(names), 1)), tf
+
+
 def _scorer(idf: dict[str, float], avgdl: float, weighted: bool):
     """BM25 of a row's hits, of a document of length dl; a row is scored by itself, so nothing is shuffled."""
 
-    @F.arrow_udf(T_DOUBLE)
+    @F.arrow_udf("double")
     def score(hits: pa.Array, dl: pa.Array) -> pa.Array:
-        count = np.asarray(hits.value_lengths()).astype(np.int64)
-        flat = hits.flatten()
-        tokens, weight = (flat.field(0), np.asarray(flat.field(1))) if weighted else (flat, None)
-        codes = tokens.dictionary_encode()
-        names, code = codes.dictionary.to_pylist(), np.asarray(codes.indices).astype(np.int64)
-        doc = np.repeat(np.arange(len(count)), count)
-        key, back = np.unique(doc * max(len(names), 1) + code, return_inverse=True)
-        tf = np.bincount(back, weights=weight, minlength=len(key)).astype(float)
-        at, term = key // max(len(names), 1), key % max(len(names), 1)
-        worth = np.array([idf[t] for t in names] or [0.0])[term] if len(key) else tf
+        at, (names, term), tf = _term_counts(hits, weighted)
+        worth = np.array([idf[t] for t in names] or [0.0])[term] if len(at) else tf
         length = np.asarray(dl)[at]
         part = worth * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * length / (avgdl or 1.0)))
-        return pa.array(np.bincount(at, weights=part, minlength=len(count)).astype(float))
+        return pa.array(np.bincount(at, weights=part, minlength=len(hits)).astype(float))
 
     return score
 

@@ -292,8 +292,7 @@ def weighted_corpus_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     x AS (SELECT q.item_id AS query_id, y.doc_id, round(sum(y.part), 6) AS score FROM y JOIN q USING (term) GROUP BY ALL)
     SELECT query_id, doc_id, score FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3""")
 def bm25_batch_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = Corpus.build(_docs(spark, sf_dir)).bm25_batch(_t(spark, sf_dir, "benchmark"), "item_id")
-    return top(scores.withColumn("score", F.round("score", 6)), 3, by="query_id")
+    return Corpus.build(_docs(spark, sf_dir)).bm25_batch_top(_t(spark, sf_dir, "benchmark"), 3, "item_id", digits=6)
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexloom import __main__ as cli
 from lexloom.functions import scalar
 from lexloom.functions import text as T
+from lexloom.functions.segment import fnv1a
 from lexloom.operators import keywords as K
 from lexloom.operators import similarity as S
 from lexloom.operators import training as M
@@ -218,3 +219,43 @@ def test_entry():
 
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and {"bm25_topk", "near_duplicates_072"} <= names
+
+
+def test_samples_of_many_files(spark, tmp_path):
+    """Ids of samples stay different and in order over more files than fit in a few bits of a number."""
+    for i in range(12):
+        (tmp_path / f"{i:02}.txt").write_text("昨日 は 雨 が 降りました\n" * (1 + i % 3), encoding="utf-8")
+    samples = M.training_samples(read_lines(spark, [str(tmp_path)])).collect()
+    assert len({r.sample_id for r in samples}) == len(samples) == sum(1 + i % 3 for i in range(12)) * len(M.line_samples("昨日 は 雨 が 降りました"))
+    files = [r.sample_id.n.file for r in sorted(samples, key=lambda r: r.sample_id)]
+    assert files == sorted(files) and set(files) == set(range(12))
+
+
+def test_batch_of_queries(spark, monkeypatch, tmp_path):
+    """The best of each query, ties by id, by broadcast and by joins; and from a saved corpus."""
+    texts = [t for t in TEXTS if t] + ["write the words here"] * 3 + [f"word number {i} of many" for i in range(40)]
+    corpus = Corpus.build(rows(spark, texts))
+    asked = spark.createDataFrame([("a", "plain words"), ("b", "number many"), ("c", "zqx"), ("d", ""), ("e", "メモリ 記事")], "query_id string, text string")
+    want = [tuple(r) for r in top(corpus.bm25_batch(asked).withColumn("score", F.round("score", 6)), 3, by="query_id").select("query_id", "doc_id", "score").collect()]
+    got = [tuple(r) for r in corpus.bm25_batch_top(asked, 3, digits=6).collect()]
+    assert sorted(got) == sorted(want) and {q for q, *_ in got} >= {"a", "b"}
+    monkeypatch.setattr("lexloom.operators.corpus.LITERAL_TERMS", 1)
+    assert sorted(tuple(r) for r in corpus.bm25_batch_top(asked, 3, digits=6).select("query_id", "doc_id", "score").collect()) == sorted(want)
+    monkeypatch.undo()
+    assert corpus.bm25_batch_top(asked.limit(0), 3).collect() == [] and Corpus.build(rows(spark, [])).bm25_batch_top(asked, 3).collect() == []
+    corpus.save(f"{tmp_path}/c")
+    saved = Corpus.load(spark, f"{tmp_path}/c")
+    assert saved.size() == corpus.size() and not saved.is_empty()
+    assert [round(s, 9) for s in scores(saved.bm25("plain words"))] == [round(s, 9) for s in scores(corpus.bm25("plain words"))]
+
+
+def test_jaccard_against(spark):
+    texts, asked = ["hello world", "hello there", "", None, "zzz"], ["hello world", ""]
+    got = {(r.query_id, r.doc_id): r.score for r in S.jaccard_against(rows(spark, texts), rows(spark, asked).withColumnRenamed("doc_id", "query_id")).collect()}
+    want = {(q, d): scalar.jaccard(a, b) for q, a in enumerate(asked) for d, b in enumerate(texts)}
+    assert got == {k: v for k, v in want.items() if v > 0}
+
+
+def test_hashes_of_documents(spark):
+    df = rows(spark, [*TEXTS, "é" * 9000]).select("doc_id", "text", T.fnv1a_hex(F.encode(T.text_of(F.col("text")), "UTF-8")).alias("fnv"))
+    assert all(int(r.fnv, 16) == fnv1a((r.text or "").encode()) for r in df.collect())
