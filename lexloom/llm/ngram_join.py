@@ -13,8 +13,8 @@ from .bytetext import SPACED, U64, Chunk, chunks, gram_hashes, inside_one, mix
 from .components import components
 from .store import drop, free_name, freed, trim, written
 
-#: Words of an n-gram, least Jaccard similarity of a link, and the share of links that must be found, as measured.
-GRAM, THRESHOLD, RECALL = 3, 0.5, 0.999
+#: Words of an n-gram, least Jaccard similarity of a link, the share of links that must be found, as measured, and the chance of a pair at the threshold that the longest prefix must give.
+GRAM, THRESHOLD, RECALL, START = 3, 0.5, 0.999, 0.99
 #: Trees of the forest, and symbols (of 16 bits) of a signature in each.
 TREES, DEPTH = 40, 4
 #: Classes in a block of the verification, and bytes of text in a task of small components.
@@ -34,6 +34,11 @@ def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
     return 1 - (1 - similarity**depth) ** TREES
 
 
+def longest(threshold: float) -> int:
+    """The longest prefix at which a pair at the threshold shares one in some tree with the chance START."""
+    return max([1, *(d for d in range(1, DEPTH + 1) if chance(threshold, d) >= START)])
+
+
 def shingles(chunk: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of words of every text, and the index where each text's begin.
 
@@ -100,59 +105,66 @@ def _classes(base: DataFrame, gram: int) -> DataFrame:
 class Forest:
     """The prefix tries of all trees, as rows in order of (tree, label, class).
 
-    A row's ``lcp`` is the number of symbols that it shares with the row before
-    it, ``near`` that row's class, and ``deep`` the most symbols that it shares
-    with either neighbour, so the node of depth d over a row has company if
-    ``deep`` >= d.  Rows are sorted by range, so a node of any number of rows
-    lies over many tasks, each of which reads its rows as a stream; where two
-    tasks meet, the rows beside the cut are held against each other here.
-    Rows that share fewer than ``floor`` symbols with both neighbours are left
-    out.
+    Labels are compared with their neighbours': ``deep`` is the longest prefix,
+    in symbols, that a row shares with the row before or after it, so the node
+    of depth d over it has company if ``deep`` >= d, and ``heads`` are the first
+    classes of its nodes of depths ``floor`` to ``top``, itself in a node's first
+    row.  Rows are sorted by range, so a node of any number of rows lies over
+    many tasks, each of which reads its rows as a stream and has heads of its
+    own; where two tasks meet, the rows beside the cut are held against each
+    other here.  Rows that share fewer than ``floor`` symbols with both
+    neighbours are left out.
     """
 
-    def __init__(self, sig: DataFrame, floor: int):
+    def __init__(self, sig: DataFrame, floor: int, top: int):
         steps = sig.select("cls", F.posexplode("labels").alias("tree", "label"))
         ordered = steps.select("tree", "label", "cls").repartitionByRange("tree", "label", "cls").sortWithinPartitions("tree", "label", "cls")
+        depths = range(floor, top + 1)
 
         def run(batches):
             held: tuple[np.ndarray, ...] | None = None
             for b in batches:
                 if not b.num_rows:
                     continue
-                new = [b.column(c).to_numpy().astype(np.int64) for c in ("tree", "label", "cls")]
-                n, cut = len(new[0]), held is None
-                if held is None:
-                    tree, label, cls = new
-                    near, lcp, edge = cls[:1], np.full(1, -1), np.ones(1, bool)
-                else:
-                    tree, label, cls = (np.concatenate([h, x]) for h, x in zip(held, new))
-                    near, lcp, edge = held[3:]
-                near = np.concatenate([near, cls[:-1]])
+                tree, label, cls = (b.column(c).to_numpy().astype(np.int64) for c in ("tree", "label", "cls"))
+                lcp, edge = np.full(1, -1), np.ones(1, bool)
+                before = np.repeat(cls[:1], len(depths))
+                if held is not None:
+                    tree, label, cls = (np.concatenate([h, x]) for h, x in zip(held, (tree, label, cls)))
+                    lcp, edge, before = held[3:]
                 lcp = np.concatenate([lcp, shared_symbols(tree[:-1], label[:-1], tree[1:], label[1:])])
-                edge = np.concatenate([edge, np.zeros(n - cut, bool)])
+                edge = np.concatenate([edge, np.zeros(len(cls) - 1, bool)])
+                heads = np.empty((len(cls), len(depths)), np.int64)
+                for k, d in enumerate(depths):
+                    first = np.where(lcp < d, np.arange(len(cls)), 0)
+                    first[0] = 0
+                    first = np.maximum.accumulate(first)
+                    heads[:, k] = np.where(first == 0, before[k], cls[first])
                 deep = np.maximum(lcp[:-1], lcp[1:])
-                yield from rows(tree[:-1], label[:-1], cls[:-1], near[:-1], lcp[:-1], deep, edge[:-1])
-                held = tuple(x[-1:] for x in (tree, label, cls, near, lcp, edge))
+                yield from rows(tree[:-1], label[:-1], cls[:-1], heads[:-1], deep, edge[:-1])
+                held = (tree[-1:], label[-1:], cls[-1:], lcp[-1:], edge[-1:], heads[-1])
             if held is not None:
-                yield from rows(*held[:5], held[4], np.ones(1, bool))
+                yield from rows(*held[:3], held[5][None], held[3], np.ones(1, bool))
 
-        def rows(tree, label, cls, near, lcp, deep, edge):
+        def rows(tree, label, cls, heads, deep, edge):
             keep = (deep >= floor) | edge
             if keep.any():
-                arrays = [pa.array(x[keep]) for x in (tree.astype(np.int32), label, cls, near, lcp.astype(np.int8), deep.astype(np.int8), edge)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["tree", "label", "cls", "near", "lcp", "deep", "edge"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(keep.sum() + 1, dtype=np.int32) * len(depths)), pa.array(heads[keep].ravel()))
+                arrays = [pa.array(x[keep]) for x in (tree.astype(np.int32), label, cls, deep.astype(np.int8), edge)]
+                yield pa.RecordBatch.from_arrays([*arrays, lists], names=["tree", "label", "cls", "deep", "edge", "heads"])
 
         self.floor = floor
-        self.rows = written(ordered.mapInArrow(freed(run), "tree int, label long, cls long, near long, lcp byte, deep byte, edge boolean"), "forest")
+        self.rows = written(ordered.mapInArrow(freed(run), "tree int, label long, cls long, deep byte, edge boolean, heads array<long>"), "forest")
         ends = self.rows.where("edge").select("tree", "label", "cls").orderBy("tree", "label", "cls").collect()  # two rows of each task
         t, x, c = (np.array(col, np.int64) for col in zip(*ends)) if ends else (np.zeros(0, np.int64),) * 3
         met = list(zip(c[:-1].tolist(), c[1:].tolist(), shared_symbols(t[:-1], x[:-1], t[1:], x[1:]).tolist()))
-        self.met = sig.sparkSession.createDataFrame(met, "cls long, near long, lcp int")
+        self.met = sig.sparkSession.createDataFrame(met, "cls long, head long, lcp int")
 
-    def neighbours(self, depth: int) -> DataFrame:
-        """(a, b): classes side by side that share a prefix of ``depth`` symbols."""
-        both = self.rows.select("cls", "near", F.col("lcp").cast("int").alias("lcp")).unionAll(self.met).where((F.col("lcp") >= depth) & (F.col("cls") != F.col("near")))
-        return both.select(F.least("cls", "near").alias("a"), F.greatest("cls", "near").alias("b")).distinct()
+    def edges(self, depth: int) -> DataFrame:
+        """(a, b): the classes of each node of a depth with the first ones, which connect it."""
+        stars = self.rows.select("cls", F.element_at("heads", depth - self.floor + 1).alias("head"))
+        both = stars.unionAll(self.met.where(F.col("lcp") >= depth).select("cls", "head")).where(F.col("cls") != F.col("head"))
+        return both.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
 
     def members(self, depth: int) -> DataFrame:
         """(node, cls): the classes of the nodes of a depth; nodes of one class may be among them."""
@@ -173,12 +185,12 @@ def _candidates(forest: Forest, sig: DataFrame, threshold: float, depth: int) ->
     Two classes below one node of a depth are candidates if their signatures
     agree in at least half the threshold's share of steps: a pair at the
     threshold is that far off its expectation with a chance below 1e-9.  First
-    neighbours in the order of the tries are held against each other, then, in
-    nodes whose classes aren't connected by that, all pairs of different
-    components, in pairs of blocks.
+    the classes of a node are held against its first ones, then, in nodes whose
+    classes aren't connected by that, all pairs of different components, in
+    pairs of blocks.
     """
     joined = (
-        forest.neighbours(depth)
+        forest.edges(depth)
         .join(sig.select(F.col("cls").alias("a"), F.col("labels").alias("x")), "a")
         .join(sig.select(F.col("cls").alias("b"), F.col("labels").alias("y")), "b")
     )
@@ -199,7 +211,7 @@ def _edges_across(members: DataFrame, comps: DataFrame, sig: DataFrame, threshol
     """Edges (a, b) between components of which a node has candidates of each, from (node, cls).
 
     A component's number is its label, or the class if it is in none.  Nodes of
-    the same classes are looked at once.  Two classes are neighbours.
+    the same classes are looked at once.  Two classes are a first one and another.
     """
     label = F.coalesce("label", "cls").alias("label")
     rows = members.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("node", "cls", label)
@@ -337,16 +349,17 @@ def _tiles(texts: DataFrame, total: int) -> DataFrame:
 def _links(base: DataFrame, classes: DataFrame, gram: int, threshold: float, recall: float) -> DataFrame:
     """The verified rows of :func:`_verified`.
 
-    Prefixes are matched at their full length first, and by a symbol less each
-    time until the links found make up ``recall`` of all, of which each found
-    one stands for as many as its chance to be found says.  Components that a
-    shorter prefix leaves as they are aren't verified again.
+    Prefixes are matched first at the length at which a pair at the threshold is
+    found with the chance START, and by a symbol less each time until the links
+    found make up ``recall`` of all, of which each found one stands for as many
+    as its chance to be found says.  Components that a shorter prefix leaves as
+    they are aren't verified again.
     """
     sig = classes.select("cls", "labels").where(F.size("labels") > 0)
-    depth, forest, found, before = DEPTH, None, None, None
+    depth, forest, found, before = longest(threshold), None, None, None
     while True:
         if forest is None or depth < forest.floor:
-            forest = Forest(sig, max(1, depth - 1))
+            forest = Forest(sig, max(1, depth - 1), depth)
         comps = written(_candidates(forest, sig, threshold, depth), "candidates")
         sizes = comps.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("size"))
         sized = written(comps.select(F.col("node").alias("cls"), F.col("label").alias("comp")).join(sizes, "comp"), "sized")
@@ -391,8 +404,8 @@ def near_copies(
     are ignored; an empty table gives no rows.
 
     Candidates: a forest of TREES tries over MinHash signatures, whose prefixes
-    are matched at full length and then shortened until ``recall``, as measured
-    from the links found, is met.  Each two classes of a node are connected, or
+    are matched at the length that suits the threshold and then shortened until
+    ``recall``, as measured from the links found, is met.  Each two classes of a node are connected, or
     their signatures show them to be apart; connected candidates are a
     component.  Verification: all pairs of a component, exactly, by products
     of incidence matrices of blocks of at most BLOCK texts, so that a link

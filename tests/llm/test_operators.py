@@ -546,7 +546,7 @@ def test_forest(spark, monkeypatch):
         return x
 
     rows = [(i, [signed(t, [RNG.randrange(2) * 40000 for _ in range(4)]) for t in range(3)]) for i in range(200)]
-    forest = ngram_join.Forest(spark.createDataFrame(rows, "cls long, labels array<long>").repartition(5), 1)
+    forest = ngram_join.Forest(spark.createDataFrame(rows, "cls long, labels array<long>").repartition(5), 1, 4)
     for depth in range(1, 5):
         nodes = collections.defaultdict(set)
         for i, labels in rows:
@@ -563,7 +563,7 @@ def test_forest(spark, monkeypatch):
                 x = parent[x]
             return x
 
-        edges = {(r.a, r.b) for r in forest.neighbours(depth).collect()}
+        edges = {(r.a, r.b) for r in forest.edges(depth).collect()}
         for k, v in nodes.items():
             for a, b in itertools.combinations(sorted(v), 2):
                 if (a, b) in edges:
@@ -571,8 +571,11 @@ def test_forest(spark, monkeypatch):
             assert len({root((k, i)) for i in v}) == 1
 
 
-def test_recall_near_the_threshold(spark):
-    """Pairs of a similarity of 0.5 to 0.6 are found; prefixes are shortened for them."""
+@pytest.mark.parametrize("start", [0.99, 0.1])
+def test_recall_near_the_threshold(spark, monkeypatch, start):
+    """Pairs of a similarity of 0.5 to 0.6 are found, however long the first prefixes; they are shortened for them."""
+    monkeypatch.setattr(ngram_join, "START", start)
+    assert ngram_join.longest(0.5) == (3 if start == 0.99 else 4)
     rng, rows, want = random.Random(3), [], {}
     for i in range(300):
         n = rng.randrange(40, 90)
