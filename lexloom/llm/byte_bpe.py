@@ -21,7 +21,7 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens of up to so many bytes are merged side by side, one step of each heap at a time.
 SHORT = 48
 #: Bytes of texts that are encoded together: the more, the fewer pieces are merged twice.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _NONE = np.int64(1 << 40)
 STEP = U64(0x9E3779B97F4A7C15)
 
