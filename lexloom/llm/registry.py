@@ -121,11 +121,12 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
-        g AS (SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM w, (SELECT unnest({sorted(GRAM_LIMITS)}) AS n) WHERE len(ws) >= n),
-        k AS (SELECT r, n, i, hash(ws[i:i + n - 1]) AS k FROM g),
+        e AS (SELECT r, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS z FROM w),
+        g AS (SELECT r, pos, {", ".join(f"lead(hash(z), {i}) OVER (PARTITION BY r ORDER BY pos) AS h{i}" for i in range(max(GRAM_LIMITS)))} FROM e),
+        k AS ({" UNION ALL ".join(f"SELECT r, {n} AS n, pos AS i, hash({', '.join(f'h{i}' for i in range(n))}) AS k FROM g WHERE h{n - 1} IS NOT NULL" for n in GRAM_LIMITS)}),
         h AS (SELECT r, n, i, row_number() OVER (PARTITION BY r, n, k ORDER BY i) AS place, count(*) OVER (PARTITION BY r, n, k) AS times FROM k),
         p AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS pos FROM h WHERE place > 1),
-        c AS (SELECT r, n, sum(length(ws[pos])) AS c FROM p JOIN w USING (r) GROUP BY r, n),
+        c AS (SELECT r, n, sum(length(z)) AS c FROM p JOIN e USING (r, pos) GROUP BY r, n),
         x AS (SELECT r, {", ".join(f"max(c) FILTER (n = {n}) AS c{n}" for n in GRAM_LIMITS)} FROM c GROUP BY r),
         b AS (SELECT r, count(DISTINCT pos) AS n_repeat FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM h WHERE n = 5 AND times > 1) GROUP BY r),
         l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line) AS place FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')),
