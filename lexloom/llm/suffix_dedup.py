@@ -327,7 +327,7 @@ def _spans(docs: DataFrame, length: int, unit: str) -> DataFrame:
     """(row, ranges): the covered symbols of every text that has some, as pairs of 64-bit integers."""
     every = written(_anchored(docs, length, unit), "anchors")
     keys = written(every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
-    found = written(every.join(keys, "key", "left_semi"), "found")
+    found = written(every.join(keys.hint("merge"), "key", "left_semi"), "found")
     drop(every)
     contexts = written(found.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo")).alias("at"), F.first("n").alias("n")), "contexts")
     # a key all of whose contexts repeat is settled; the others' contexts must be compared
