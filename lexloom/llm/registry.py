@@ -54,7 +54,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"), passage=PASSAGE)
+    return suffix_dedup(_table(spark, sf_dir, "documents"), passage=PASSAGE, few=0)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,11 +323,11 @@ def _spread_runs(contexts: DataFrame, length: int, unit: str) -> DataFrame:
     return hits.select("key", "ctx", "at").mapInArrow(freed(pack), _RUNS)
 
 
-def _spans(docs: DataFrame, length: int, unit: str) -> DataFrame:
+def _spans(docs: DataFrame, length: int, unit: str, few: int) -> DataFrame:
     """(row, ranges): the covered symbols of every text that has some, as pairs of 64-bit integers."""
     every = written(_anchored(docs, length, unit), "anchors")
     keys = written(every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
-    found = written(every.join(keys.hint("merge"), "key", "left_semi"), "found")
+    found = written(every.join(keys.hint("broadcast" if keys.count() <= few else "merge"), "key", "left_semi"), "found")
     drop(every)
     contexts = written(found.groupBy("key", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("row", "lo")).alias("at"), F.first("n").alias("n")), "contexts")
     # a key all of whose contexts repeat is settled; the others' contexts must be compared
@@ -389,7 +389,7 @@ def _covered(windows: pa.Array, length: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(out.tobytes())])
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, unit: str = "bytes", passage: int | None = None, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, unit: str = "bytes", passage: int | None = None, keep_text: bool = False, carry: tuple[str, ...] = (), few: int | None = None) -> DataFrame:
     """Removes every byte inside a string of ``length`` symbols that also starts anywhere else.
 
     Symbols are the UTF-8 bytes of a text, or in unit ``words`` its words
@@ -411,16 +411,18 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     the difference-cover algorithm in buckets of equal anchors, and neighbours
     are compared; keys of more than TASK_BYTES are sorted by the same algorithm
     with every step spread over the cluster, so no task holds an unbounded
-    group.
+    group.  Anchors that stand twice or more are broadcast up to ``few`` of them
+    (BROADCAST_ROWS, where that isn't given), else joined by a shuffle.
     """
+    few = BROADCAST_ROWS if few is None else few
     names = {f"_carry{i}": c for i, c in enumerate(carry)}
     if clash := {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "text"} & set(carry):
         raise ValueError(f"carried columns would clash: {sorted(clash)}")
     base = df.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`").alias(n) for n, c in names.items()], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     docs = written(base.withColumn("row", F.monotonically_increasing_id()), "docs")
-    spans = _spans(docs, length, unit)
+    spans = _spans(docs, length, unit, few)
     if passage:
-        spans = spans.join(_spans(docs, passage, "words").withColumnRenamed("ranges", "passages"), "row", "full_outer")
+        spans = spans.join(_spans(docs, passage, "words", few).withColumnRenamed("ranges", "passages"), "row", "full_outer")
     else:
         spans = spans.withColumn("passages", F.lit(None).cast("binary"))
     spans = written(spans, "ranges")
