@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,8 @@ from .store import drop, freed, trim, written
 LENGTH, PASSAGE = 400, 49
 #: Most bytes of contexts of a key in a suffix array; bytes in an array of several keys.
 TASK_BYTES, ARRAY_BYTES = 1 << 20, 1 << 18
-#: Numbers of rows that may be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Numbers of rows, and bytes of what goes with them, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 #: Occurrences from which a context is joined by broadcast are this share of all, so there are few such contexts.
 HOT_SHARE = 1e-4
 
@@ -244,19 +244,23 @@ def _runs(windows: np.ndarray) -> bytes:
     return np.stack([windows[cut[:-1]], windows[cut[1:] - 1]], 1).astype("<i4").tobytes()
 
 
-def _beside(docs: DataFrame, per: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` with what ``per`` has for them, and the other rows.
+def _beside(docs: DataFrame, per: DataFrame, size: Column, few: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` with what ``per`` has for them (``size`` bytes), and the other rows.
 
-    Only texts that have something are shuffled: the numbers of their rows are
-    broadcast, or if there are too many the texts are parted by a join.
+    Up to ``few`` rows and BROADCAST_BYTES of it are broadcast.  Of more, only
+    texts that have something are shuffled: the numbers of their rows are
+    broadcast, or if there are too many of these the texts are parted by a join.
     """
+    n, total = per.agg(F.count("*"), F.coalesce(F.sum(size + 16), F.lit(0))).first()
+    if n <= few and total <= BROADCAST_BYTES:
+        return docs.join(F.broadcast(per), "row"), docs.join(F.broadcast(per.select("row")), "row", "left_anti")
     ids = per.select("row")
-    if ids.count() <= BROADCAST_ROWS:
+    if n <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    return docs.join(ids, "row", "left_semi").join(per, "row"), docs.join(ids, "row", "left_anti")
+    return docs.join(ids, "row", "left_semi").join(per.hint("merge"), "row"), docs.join(ids, "row", "left_anti")
 
 
-def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str) -> DataFrame:
+def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str, few: int) -> DataFrame:
     """(key, ctx, n, bytes) of the contexts of ``reps``, cut from their texts."""
     per = reps.groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "lo", "n")).alias("cuts"))
     per = written(per, "cuts")
@@ -274,7 +278,7 @@ def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str) ->
                         out["bytes"].append(sym.cut(i, x["lo"], x["n"] - 1 + length))
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
 
-    some, _ = _beside(docs.select("row", "text"), per)
+    some, _ = _beside(docs.select("row", "text"), per, F.size("cuts") * 48, few)
     return some.mapInArrow(freed(run), "key long, ctx long, n long, bytes binary")
 
 
@@ -336,11 +340,11 @@ def _spans(docs: DataFrame, length: int, unit: str, few: int) -> DataFrame:
     open_keys = written(stats.where("kinds > 1 AND single > 0").select("key", "width"), "open")
     total = open_keys.agg(F.coalesce(F.sum("width"), F.lit(0))).first()[0]
     reps = contexts.join(open_keys, "key").select("key", "ctx", "n", "width", F.col("at.row").alias("row"), F.col("at.lo").alias("lo"))
-    few = _context_bytes(docs, reps.where(F.col("width") <= TASK_BYTES), length, unit)
+    few = _context_bytes(docs, reps.where(F.col("width") <= TASK_BYTES), length, unit, few)
     runs = _sorted_runs(few, length, unit, max(1, int(total) // (2 * TASK_BYTES)))
     many = reps.where(F.col("width") > TASK_BYTES)
     if open_keys.where(F.col("width") > TASK_BYTES).limit(1).count():
-        runs = runs.unionByName(_spread_runs(_context_bytes(docs, many, length, unit), length, unit))
+        runs = runs.unionByName(_spread_runs(_context_bytes(docs, many, length, unit, few), length, unit))
     runs = written(runs, "runs")
     settled = contexts.join(runs, ["key", "ctx"], "left").where("times > 1 OR runs IS NOT NULL").select("key", "ctx", "times", F.when(F.col("times") == 1, F.col("runs")).alias("runs"))
     settled = written(settled, "settled")
@@ -411,8 +415,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     the difference-cover algorithm in buckets of equal anchors, and neighbours
     are compared; keys of more than TASK_BYTES are sorted by the same algorithm
     with every step spread over the cluster, so no task holds an unbounded
-    group.  Anchors that stand twice or more are broadcast up to ``few`` of them
-    (BROADCAST_ROWS, where that isn't given), else joined by a shuffle.
+    group.  Anchors that stand twice or more, and what is found for texts, are
+    broadcast up to ``few`` rows (BROADCAST_ROWS, where that isn't given), else
+    joined by a shuffle.
     """
     few = BROADCAST_ROWS if few is None else few
     names = {f"_carry{i}": c for i, c in enumerate(carry)}
@@ -426,7 +431,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     else:
         spans = spans.withColumn("passages", F.lit(None).cast("binary"))
     spans = written(spans, "ranges")
-    some, others = _beside(docs, spans)
+    some, others = _beside(docs, spans, F.coalesce(F.length("ranges"), F.lit(0)) + F.coalesce(F.length("passages"), F.lit(0)), few)
     joined = some.unionByName(others, allowMissingColumns=True).drop("row")
     keep = [c for c in joined.columns if c not in ("text", "ranges", "passages")]
     schema = T.StructType([joined.schema[c] for c in keep])
