@@ -340,8 +340,8 @@ def _spans(docs: DataFrame, length: int, unit: str, few: int) -> DataFrame:
     open_keys = written(stats.where("kinds > 1 AND single > 0").select("key", "width"), "open")
     total = open_keys.agg(F.coalesce(F.sum("width"), F.lit(0))).first()[0]
     reps = contexts.join(open_keys, "key").select("key", "ctx", "n", "width", F.col("at.row").alias("row"), F.col("at.lo").alias("lo"))
-    few = _context_bytes(docs, reps.where(F.col("width") <= TASK_BYTES), length, unit, few)
-    runs = _sorted_runs(few, length, unit, max(1, int(total) // (2 * TASK_BYTES)))
+    small = _context_bytes(docs, reps.where(F.col("width") <= TASK_BYTES), length, unit, few)
+    runs = _sorted_runs(small, length, unit, max(1, int(total) // (2 * TASK_BYTES)))
     many = reps.where(F.col("width") > TASK_BYTES)
     if open_keys.where(F.col("width") > TASK_BYTES).limit(1).count():
         runs = runs.unionByName(_spread_runs(_context_bytes(docs, many, length, unit, few), length, unit))
