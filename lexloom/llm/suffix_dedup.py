@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from . import bytetext
 from .bytetext import SPACED, U64, Chunk, chunks, mix
-from .difference_cover import repeated
 from .store import drop, freed, trim, written
 
 #: Bytes of the shortest repeat; words of the shortest passage: over 50, less the two at its ends, which may be joined to their neighbours' text.
@@ -52,11 +51,21 @@ class Symbols:
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _span(self.prefix, a, b)
 
+    def hashes_by_others(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the same spans that don't follow from :meth:`hashes`."""
+        return _span(_prefix(mix(self.values)), a, b)
+
     def cut(self, i: int, lo: int, n: int) -> bytes:
         """``n`` symbols of text ``i`` from ``lo``, as they go into a suffix array."""
         at = int(self.off[i]) + lo
         return (self.chunk.buf if self.unit == "bytes" else self.values)[at : at + n].tobytes()
 
+    def text(self, i: int, lo: int, n: int) -> bytes:
+        """The text of ``n`` symbols of text ``i`` from ``lo``."""
+        at = int(self.off[i]) + lo
+        a, b = (at, at + n) if self.unit == "bytes" else (self.starts[at], self.ends[at + n - 1])
+        return self.chunk.buf[a:b].tobytes()
+
     def bytes_of(self, i: int, ranges: np.ndarray) -> np.ndarray:
         """Ranges of symbols of text ``i`` as ranges of its bytes."""
         if self.unit == "bytes" or not len(ranges):
@@ -173,15 +182,15 @@ def repeated_windows(texts: list[np.ndarray], owned: list[int], length: int = LE
 # -- anchors
 
 
-def anchors(sym: Symbols, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(sym: Symbols, length: int, k: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places, first and last windows and hashes of the anchors of a chunk.
 
     Each window of ``length`` symbols belongs to one anchor: of the strings of
-    a quarter of that length inside it, the leftmost of the least hash.  Equal
-    windows have equal anchors at the same offset, and the windows of an anchor
-    lie side by side.
+    ``k`` symbols (a quarter of that length) inside it, the leftmost of the
+    least hash.  Equal windows have equal anchors at the same offset, and the
+    windows of an anchor lie side by side.
     """
-    k = max(1, length // 4)
+    k = k or max(1, length // 4)
     w = length - k + 1
     n = len(sym.values)
     none = np.zeros(0, np.int64)
@@ -210,7 +219,7 @@ def anchors(sym: Symbols, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return place, window[head], window[last], h[place]
 
 
-def _anchored(docs: DataFrame, length: int, unit: str) -> DataFrame:
+def _anchored(docs: DataFrame, length: int, unit: str, k: int | None = None) -> DataFrame:
     """Anchors (row, key, ctx, lo, n): key and ctx are hashes of the anchor and of its context (the symbols of its windows and where it stands in them), which begins at lo with n windows."""
 
     def run(batches):
@@ -218,12 +227,12 @@ def _anchored(docs: DataFrame, length: int, unit: str) -> DataFrame:
             row = b.column("row").to_numpy()
             for c in chunks(b.column("text")):
                 sym = Symbols(c, unit)
-                place, lo, hi, key = anchors(sym, length)
+                place, lo, hi, key = anchors(sym, length, k)
                 if not len(key):
                     continue
                 doc = np.searchsorted(sym.off, lo, side="right") - 1
                 shape = mix((place - lo).astype(np.uint64) << U64(32) | (hi - lo).astype(np.uint64))
-                ctx = mix(sym.hashes(lo, hi + length) ^ shape)
+                ctx = mix((sym.hashes_by_others if k == length else sym.hashes)(lo, hi + length) ^ shape)
                 arrays = [row[c.first + doc], key.view(np.int64), ctx.view(np.int64), lo - sym.off[doc], hi - lo + 1]
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)) for a in arrays], names=["row", "key", "ctx", "lo", "n"])
 
@@ -260,8 +269,8 @@ def _beside(docs: DataFrame, per: DataFrame, size: Column, few: int) -> tuple[Da
     return docs.join(ids, "row", "left_semi").join(per.hint("merge"), "row"), docs.join(ids, "row", "left_anti")
 
 
-def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str, few: int) -> DataFrame:
-    """(key, ctx, n, bytes) of the contexts of ``reps``, cut from their texts."""
+def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str, few: int, as_text: bool = False) -> DataFrame:
+    """(key, ctx, n, bytes) of the contexts of ``reps``, cut from their texts as symbols or as text."""
     per = reps.groupBy("row").agg(F.collect_list(F.struct("key", "ctx", "lo", "n")).alias("cuts"))
     per = written(per, "cuts")
 
@@ -270,12 +279,13 @@ def _context_bytes(docs: DataFrame, reps: DataFrame, length: int, unit: str, few
             cuts = b.column("cuts")
             for c in chunks(b.column("text")):
                 sym = Symbols(c, unit)
+                cut = sym.text if as_text else sym.cut
                 out: dict[str, list] = {k: [] for k in ("key", "ctx", "n", "bytes")}
                 for i in range(c.n):
                     for x in cuts[c.first + i].as_py():
                         for k in ("key", "ctx", "n"):
                             out[k].append(x[k])
-                        out["bytes"].append(sym.cut(i, x["lo"], x["n"] - 1 + length))
+                        out["bytes"].append(cut(i, x["lo"], x["n"] - 1 + length))
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]))
 
     some, _ = _beside(docs.select("row", "text"), per, F.size("cuts") * 48, few)
@@ -305,31 +315,32 @@ def _sorted_runs(contexts: DataFrame, length: int, unit: str, buckets: int) -> D
     return contexts.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(run, _RUNS)
 
 
-def _spread_runs(contexts: DataFrame, length: int, unit: str) -> DataFrame:
-    """The same for keys of more contexts than a task may hold: their suffixes are sorted over the cluster."""
+def _longer(k: int, length: int) -> int:
+    """How long the anchors are that divide the keys of anchors of ``k`` symbols; in the end they are the windows themselves."""
+    return length if k > length // 2 else length - (length - k) // 4
 
-    def numbers(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                values = np.frombuffer(b.column("bytes")[i].as_buffer(), _DTYPE[unit]).astype(np.uint64)
-                symbols = (values >> U64(unit != "bytes")).astype(np.int64) + 1
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, 1) for c in ("seq", "key", "ctx", "n")), pa.array([symbols])], names=["seq", "key", "ctx", "owned", "symbols"])
 
-    rows = contexts.withColumn("seq", F.monotonically_increasing_id()).mapInArrow(freed(numbers), "seq long, key long, ctx long, owned long, symbols array<long>")
-    rows = written(rows, "sequences")
-    hits = repeated(rows.select("seq", "owned", "symbols"), length).join(rows.select("seq", "key", "ctx"), "seq")
+def _divided_runs(contexts: DataFrame, length: int, unit: str, few: int, k: int) -> DataFrame:
+    """The same for keys of more contexts than a task may hold: the contexts' windows get anchors of ``k`` symbols, which part those that differ.
+
+    An anchor of a window depends on nothing but the window, so equal ones stay
+    together.  Where anchors are whole windows, counting settles every key.
+    """
+    rows = written(contexts.withColumn("row", F.monotonically_increasing_id()), "sequences")
+    spans = _spans(rows.select("row", F.col("bytes").alias("text")), length, unit, few, k)
 
     def pack(batches):
         for b in batches:
-            runs = [_runs(np.array(x, np.int64)) for x in b.column("at").to_pylist()]
+            runs = [(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 2) - np.array([0, length])).astype("<i4").tobytes() for x in b.column("ranges")]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("ctx"), pa.array(runs, pa.binary())], names=["key", "ctx", "runs"])
 
-    return hits.select("key", "ctx", "at").mapInArrow(freed(pack), _RUNS)
+    return spans.join(rows.select("row", "key", "ctx"), "row").select("key", "ctx", "ranges").mapInArrow(freed(pack), _RUNS)
 
 
-def _spans(docs: DataFrame, length: int, unit: str, few: int) -> DataFrame:
-    """(row, ranges): the covered symbols of every text that has some, as pairs of 64-bit integers."""
-    every = written(_anchored(docs, length, unit), "anchors")
+def _spans(docs: DataFrame, length: int, unit: str, few: int, k: int | None = None) -> DataFrame:
+    """(row, ranges): the covered symbols of every text that has some, as pairs of 64-bit integers, by anchors of ``k`` symbols."""
+    k = k or max(1, length // 4)
+    every = written(_anchored(docs, length, unit, k), "anchors")
     keys = written(every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "keys")
     found = written(every.join(keys.hint("broadcast" if keys.count() <= few else "merge"), "key", "left_semi"), "found")
     drop(every)
@@ -344,7 +355,7 @@ def _spans(docs: DataFrame, length: int, unit: str, few: int) -> DataFrame:
     runs = _sorted_runs(small, length, unit, max(1, int(total) // (2 * TASK_BYTES)))
     many = reps.where(F.col("width") > TASK_BYTES)
     if open_keys.where(F.col("width") > TASK_BYTES).limit(1).count():
-        runs = runs.unionByName(_spread_runs(_context_bytes(docs, many, length, unit, few), length, unit))
+        runs = runs.unionByName(_divided_runs(_context_bytes(docs, many, length, unit, few, True), length, unit, few, _longer(k, length)))
     runs = written(runs, "runs")
     settled = contexts.join(runs, ["key", "ctx"], "left").where("times > 1 OR runs IS NOT NULL").select("key", "ctx", "times", F.when(F.col("times") == 1, F.col("runs")).alias("runs"))
     settled = written(settled, "settled")
@@ -413,9 +424,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", leng
     whose anchor stands once are unique.  Contexts of anchors that are equal as
     a whole are settled by counting.  The rest, one of each kind, is sorted by
     the difference-cover algorithm in buckets of equal anchors, and neighbours
-    are compared; keys of more than TASK_BYTES are sorted by the same algorithm
-    with every step spread over the cluster, so no task holds an unbounded
-    group.  Anchors that stand twice or more, and what is found for texts, are
+    are compared; keys of more than TASK_BYTES are first divided by longer
+    anchors, at last by whole windows, which are counted, so no task holds an
+    unbounded group.  Anchors that stand twice or more, and what is found for texts, are
     broadcast up to ``few`` rows (BROADCAST_ROWS, where that isn't given), else
     joined by a shuffle.
     """

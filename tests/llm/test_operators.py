@@ -361,6 +361,19 @@ def test_suffix_dedup(docs, none, monkeypatch, task, few):
         suffix_dedup.suffix_dedup(docs, carry=("text",))
 
 
+@pytest.mark.parametrize("unit, length", [("bytes", 60), ("words", 9)])
+def test_suffix_dedup_large_keys(spark, monkeypatch, unit, length):
+    """Passages in many different surroundings: keys too large for a task are divided, without a sort of all their suffixes over the cluster."""
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 2000)
+    monkeypatch.setattr(difference_cover, "ranks", None)
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    passages = [some(n) for n in (6, 10, 12, 25)]
+    rows = [(i, f"{some(rng.randrange(12))} {passages[i % 4]} {some(rng.randrange(12))} {passages[i % 3]}") for i in range(60)]
+    want = brute_repeats(rows, length) if unit == "bytes" else [r[:5] for r in brute_passages(rows, length)]
+    assert sorted(map(tuple, suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=length, unit=unit).collect()), key=repr) == want
+
+
 def test_suffix_dedup_long_texts(spark):
     """Texts larger than a chunk: a passage at both ends of one, and in another."""
     long = " ".join(f"w{i}" for i in range(50_000))
