@@ -40,7 +40,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(_table(spark, sf_dir, "documents"))
+    return lm_scores(_table(spark, sf_dir, "documents"), phrase=1)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,16 +32,17 @@ _SEED, _NONE = U64(0x9AE16A3B2F90404F), U64(3)
 # -- phrases
 
 
-def phrases(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def phrases(w: Words, one_in: int = PHRASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The phrases of all texts: their keys, how many words each has, the index where each text's begin, and the phrase of every word.
 
-    A phrase ends with a word whose hash says so (one in PHRASE) or with the
+    A phrase ends with a word whose hash says so (one in ``one_in``; with 1
+    every word is a phrase) or with the
     end of its text, which counts as a symbol; so phrases, like words, don't
     depend on where they stand, and none is the beginning of another.
     """
     h, n = w.hashes(), w.chunk.n
     last = np.zeros(len(h), bool)
-    ends = mix(h ^ _SEED) % U64(PHRASE) == 0
+    ends = mix(h ^ _SEED) % U64(one_in) == 0
     at = np.arange(len(h)) + w.doc  # places of the words among the symbols, an end after each text
     size = len(h) + n
     sym, cut = np.full(size, _END), np.ones(size, bool)
@@ -300,7 +301,7 @@ def _phrase_scores(docs: DataFrame, answers: DataFrame, states: DataFrame, texts
     return docs.select("part", "row", "keys").groupBy("part").cogroup(told.groupBy("part")).applyInArrow(run, "row long, phrase double, seen array<byte>")
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = 1, folds: int = 5, divergence: float = DIVERGENCE, hot: float = HOT) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", held: int = 1, folds: int = 5, divergence: float = DIVERGENCE, hot: float = HOT, phrase: int = PHRASE) -> DataFrame:
     """Scores of every whole text under two models learnt from the rows that aren't held out.
 
     Held out are rows whose crc32(id as text) mod ``folds`` is ``held``; a null
@@ -312,8 +313,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", held: i
     the end.  Rows are scored each, repeated or not; an empty table gives no
     rows; other columns are ignored.
 
-    The tree's symbols are phrases, words up to one that ends a phrase by its
-    hash; its contexts are of up to DEPTH phrases and grow in number with the
+    The tree's symbols are phrases, words up to one in ``phrase`` that ends a
+    phrase by its hash; with 1 they are the words, and the end of a text; its contexts are of up to DEPTH phrases and grow in number with the
     text there is.  Phrases that aren't known are spelled as words, with the
     probabilities of the base score, so with nothing known the two are equal.
 
@@ -356,7 +357,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text: str = "text", held: i
                 size += len(c.buf)
                 w = c.lower().words(SPACED)
                 h, doc = w.hashes(), w.doc
-                key, words, first, of = phrases(w)
+                key, words, first, of = phrases(w, phrase)
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 logs = np.bincount(of[known], weights=value[at[known]], minlength=len(key)) - words * unit if len(keys) else -words * unit

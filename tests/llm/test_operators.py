@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from lexloom.llm import compression_classifier as cc
-from lexloom.llm import difference_cover, license_scan, ngram_join, quality_rules, source_mix, suffix_dedup, suffix_tree_lm
+from lexloom.llm import difference_cover, license_scan, ngram_join, quality_rules, registry, source_mix, suffix_dedup, suffix_tree_lm
 from lexloom.llm.byte_bpe import bpe, char_classes, encode, load
 from lexloom.llm.bytetext import chunks
 from lexloom.llm.components import components
@@ -236,6 +236,16 @@ def test_suffix_tree_lm(docs, none, spark, monkeypatch, hot, part, least):
     assert {(r.n_known, r.train_tokens) for r in got} == {(0, 0)} and rounded(got) == brute_lm([(r.doc_id, "a b") for r in got])[0]
 
 
+def test_suffix_tree_over_words(docs, monkeypatch, spark):
+    """The query's symbols are words: contexts begin at every word, and scores are those of dictionaries."""
+    monkeypatch.setattr(suffix_tree_lm, "PHRASE", 1)
+    want, stay = brute_lm([r[:2] for r in ROWS])
+    assert {len(ctx) for ctx in stay} == {0, 1, 2}
+    monkeypatch.setattr(registry, "_table", lambda *_: docs)
+    got = registry.op4_suffix_tree_lm(spark, "").collect()
+    assert sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got), key=repr) == want
+
+
 def test_suffix_tree_knows_more_of_more_text(spark):
     """What is learnt grows: contexts of a text seen twice are kept, and held-out copies score better than by the base."""
     rng = random.Random(11)
