@@ -2,20 +2,26 @@
 
 import base64
 import collections
+import contextlib
+import gc
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import threading
+import time
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from lexloom.llm import compression_classifier as cc
-from lexloom.llm import difference_cover, license_scan, ngram_join, quality_rules, registry, source_mix, suffix_dedup, suffix_tree_lm
+from lexloom.llm import difference_cover, license_scan, ngram_join, quality_rules, registry, source_mix, store, suffix_dedup, suffix_tree_lm
 from lexloom.llm.byte_bpe import bpe, char_classes, encode, load
 from lexloom.llm.bytetext import chunks
 from lexloom.llm.components import components
@@ -257,6 +263,57 @@ def test_suffix_tree_knows_more_of_more_text(spark):
     assert sum(r.score > 0.5 * r.base_score for r in held) / len(held) > 0.6
 
 
+def test_suffix_tree_in_buckets(docs, monkeypatch):
+    """Keys summed in many ranges and asked for by many parts, over words and over phrases, give the scores of dictionaries."""
+    for name in ("BUCKET", "PART_BYTES", "HELD"):
+        monkeypatch.setattr(suffix_tree_lm, name, 300)
+    for phrase in (1, 3):
+        monkeypatch.setattr(suffix_tree_lm, "PHRASE", phrase)
+        want, _ = brute_lm([r[:2] for r in ROWS])
+        got = suffix_tree_lm.lm_scores(docs, phrase=phrase).collect()
+        assert sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got), key=repr) == want
+        empty = [(r[0], t) for r, t in zip(ROWS, (None, "", " \n "))]  # no word in any part
+        got = suffix_tree_lm.lm_scores(docs.sparkSession.createDataFrame(empty, "doc_id long, text string"), phrase=phrase).collect()
+        assert sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in got), key=repr) == brute_lm(empty)[0]
+    for x in ([], [0], [0, 0, 255, 256], [2**64 - 1, 1, 7], list(range(0, 5000, 3))):
+        x = np.array(x, np.uint64)
+        assert suffix_tree_lm.unpacked(suffix_tree_lm.packed(x)).tolist() == x.tolist()
+        assert suffix_tree_lm.unpacked_keys(suffix_tree_lm.packed_keys(np.sort(x))).tolist() == sorted(x.tolist())
+
+
+def test_suffix_tree_needs_little_disk(spark, monkeypatch, tmp_path):
+    """Over words, all files at any one time (tables between steps, and what is shuffled) are at most 20 bytes for each word of the texts."""
+    rng = random.Random(12)
+    lines = [[f"w{int(rng.paretovariate(0.3)) % 30000}" for _ in range(10)] for _ in range(40000)]
+    texts = [" ".join(w for _ in range(10) for w in rng.choice(lines)) for _ in range(5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setitem(store._own, spark.sparkContext.applicationId, f"file://{tmp_path}")
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+    folders = [tmp_path, *(d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+
+    def used():
+        total = 0
+        for d in folders:
+            for at, _, names in os.walk(d):
+                for name in names:
+                    with contextlib.suppress(OSError):
+                        total += os.stat(f"{at}/{name}").st_size
+        return total
+
+    before, most, done = used(), [0], threading.Event()
+    watch = threading.Thread(target=lambda: [most.append(used() - before) for _ in iter(lambda: done.wait(0.02), True)])
+    watch.start()
+    try:
+        got = suffix_tree_lm.lm_scores(df, phrase=1).collect()
+    finally:
+        done.set()
+        watch.join()
+    assert len(got) == 5000 and sum(r.n_tokens for r in got) == 505000
+    assert max(most) < 20 * 505000
+
+
 # -- licenses
 
 
