@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from . import constants as C
 from . import scalar
-from .text import _PLAIN, _SPACES
+from .text import _PLAIN
 
 #: Characters of texts that are worked on at once, one text at least.
 CHUNK = 256 << 10
@@ -25,6 +25,8 @@ CHUNK = 256 << 10
 # over plain characters only, where \w is letters, digits and the underscore
 _runs = re.compile(r"[\w.\-]+").findall
 _simple = re.compile(r"[^\W_]+").findall
+#: White space but for a lone blank.
+_gaps = re.compile("[\\t\\n\\x0b\\f\\r][\\t\\n\\x0b\\f\\r ]*| [\\t\\n\\x0b\\f\\r ]+").sub
 _LETTER, _LOWER, _UPPER, _LEFT = 1, 2, 4, 8
 
 
@@ -76,53 +78,65 @@ def _short_run(run: str) -> tuple[str, ...]:
 def _by_runs(text: str) -> list[str]:
     out: list[str] = []
     for run in _runs(text):
-        out += (run,) if run.isalnum() and run.islower() else _short_run(run) if len(run) < 100 else scalar.spacing_words(run)
+        word = run[:-1] if run[-1] == "." else run
+        if word.isalnum() and (word.islower() or word[1:].islower() or word.isdigit()):
+            out.append(word.lower())
+        else:
+            out += _short_run(run) if len(run) < 100 else scalar.spacing_words(run)
     return out
 
 
-def word_lists(texts: list[str]) -> list[list[str]]:
+Kinds = tuple[np.ndarray, np.ndarray]
+
+
+def word_lists(texts: list[str], kinds: Kinds | None = None) -> list[list[str]]:
     """``scalar.words`` of each text."""
     if not texts:
         return []
-    return [scalar.words(t) if not p else _by_runs(t) if s else _simple(t.lower()) for t, p, s in zip(texts, *_kinds(texts))]
+    return [scalar.words(t) if not p else _by_runs(t) if s else _simple(t.lower()) for t, p, s in zip(texts, *(kinds or _kinds(texts)))]
 
 
-def squashed(texts: list[str]) -> list[str]:
+def squashed(texts: list[str], kinds: Kinds | None = None) -> list[str]:
     """What the trigrams of each text are taken from."""
     if not texts:
         return []
-    return [_SPACES.sub(" ", t.lower()).strip(" ") if p else scalar.squash(scalar.normalize(t)) for t, p in zip(texts, _kinds(texts)[0])]
-
-
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, trigram, count) of the different trigrams of each text, in that order."""
-    texts = squashed(texts)
-    code = _codes(texts)
-    size = np.array([len(t) for t in texts], np.int64)
-    begins = np.ones(len(code), bool)
-    last = np.cumsum(size)
-    for k in (1, 2):
-        begins[(last - k)[size >= k]] = False
-    at = np.flatnonzero(begins)
-    if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(3))
-    seen = np.zeros(0x110000, bool)
-    seen[code] = True
-    chars = np.flatnonzero(seen)
-    a = len(chars)
-    number = np.zeros(len(seen), np.int64)
-    number[chars] = np.arange(a)
-    small = number[code]
-    gram = (small[at] * a + small[at + 1]) * a + small[at + 2]
-    text = np.repeat(np.arange(len(texts)), size)[at]
-    if a**3 * len(texts) < 1 << 62:
-        key, count = np.unique(text * a**3 + gram, return_counts=True)
-        text, gram = key // a**3, key % a**3
-    else:
-        parts = [np.unique(gram[text == i], return_counts=True) for i in range(len(texts))]
-        text = np.repeat(np.arange(len(texts)), [len(g) for g, _ in parts])
-        gram, count = (np.concatenate(x) for x in zip(*parts))
-    return text, chars[gram // (a * a)] << 42 | chars[gram // a % a] << 21 | chars[gram % a], count
+    return [_gaps(" ", t.lower()).strip(" ") if p else scalar.squash(scalar.normalize(t)) for t, p in zip(texts, (kinds or _kinds(texts))[0])]
+
+
+class Grams:
+    """The trigrams of texts in order, as numbers over the characters that occur: text, gram."""
+
+    def __init__(self, texts: list[str], kinds: Kinds | None = None):
+        texts = squashed(texts, kinds)
+        code = _codes(texts)
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.n = np.maximum(self.size - 2, 0)
+        begins = np.ones(len(code), bool)
+        last = np.cumsum(self.size)
+        for k in (1, 2):
+            begins[(last - k)[self.size >= k]] = False
+        self.number = np.full(0x110000, -1, np.int32)
+        self.number[code] = 0
+        self.chars = np.flatnonzero(self.number == 0)
+        a = self.a = len(self.chars)
+        self.number[self.chars] = np.arange(a)
+        small = self.number[code].astype(np.int64)
+        at = begins[: max(len(code) - 2, 0)]
+        self.gram = (((small[:-2] * a) + small[1:-1]) * a + small[2:])[at] if len(code) > 2 else small[:0]
+        self.text = np.repeat(np.arange(len(texts)), self.n)
+
+    def code(self, gram: np.ndarray) -> np.ndarray:
+        """Three code points of 21 bits."""
+        a = self.a
+        return self.chars[gram // (a * a)] << 42 | self.chars[gram // a % a] << 21 | self.chars[gram % a]
+
+    def each(self) -> list[np.ndarray]:
+        """The grams of each text."""
+        return np.split(self.gram, np.cumsum(self.n)[:-1]) if len(self.n) else []
+
+
+#: Most numbers of a table over all possible trigrams, or of counts of texts times terms.
+TABLE = 1 << 22
 
 
 def gram_code(gram: str) -> int:
@@ -139,28 +153,39 @@ class Terms:
         self.words = {t: i for i, t in enumerate(terms) if t[:1] != C.GRAM_MARK}
         self.gram, self.gram_id = (np.array([g[k] for g in grams], np.int64) for k in (0, 1))
 
-    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, tf) of the terms in each text by text and term, and of each text the number of its tokens and of its different ones."""
-        total, distinct = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        text, gram, count = gram_counts(texts)
-        total += np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
-        distinct += np.bincount(text, minlength=len(texts))
-        at = np.minimum(np.searchsorted(self.gram, gram), max(len(self.gram) - 1, 0))
-        hit = self.gram[at] == gram if len(self.gram) else np.zeros(len(gram), bool)
-        n = max(self.n, 1)
-        keys, tfs = [text[hit] * n + self.gram_id[at[hit]] if len(self.gram) else text[:0]], [count[hit]]
-        for i, w in enumerate(word_lists(texts)):
+    def found(self, texts: list[str], different: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """(text, term, tf) of the terms in each text by text and term, and of each text the number of its tokens and, if asked for, of its different ones."""
+        kinds = _kinds(texts) if texts else None
+        grams, n = Grams(texts, kinds), max(self.n, 1)
+        total = grams.n.copy()
+        distinct = np.array([len(np.unique(g)) for g in grams.each()], np.int64) if different else None
+        if grams.a**3 <= TABLE:
+            point = [grams.number[self.gram >> 42], grams.number[self.gram >> 21 & 0x1FFFFF], grams.number[self.gram & 0x1FFFFF]]
+            known = np.minimum(np.minimum(point[0], point[1]), point[2]) >= 0
+            table = np.full(max(grams.a**3, 1), -1, np.int64)
+            table[((point[0].astype(np.int64) * grams.a + point[1]) * grams.a + point[2])[known]] = self.gram_id[known]
+            ids = table[grams.gram]
+        elif len(self.gram):
+            code = grams.code(grams.gram)
+            at = np.minimum(np.searchsorted(self.gram, code), len(self.gram) - 1)
+            ids = np.where(self.gram[at] == code, self.gram_id[at], -1)
+        else:
+            ids = np.full(len(grams.gram), -1)
+        hit = ids >= 0
+        keys, get = [grams.text[hit] * n + ids[hit]], self.words.get
+        for i, w in enumerate(word_lists(texts, kinds)):
             total[i] += len(w)
-            distinct[i] += len(set(w))
-            ids = [self.words[x] for x in w if x in self.words]
-            if ids:
-                key, tf = np.unique(np.array(ids, np.int64), return_counts=True)
-                keys.append(key + i * n)
-                tfs.append(tf)
-        key, tf = np.concatenate(keys), np.concatenate(tfs)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        return key // n, key % n, tf[order], total, distinct
+            if different:
+                distinct[i] += len(set(w))
+            keys.append(np.array([x for x in map(get, w) if x is not None], np.int64) + i * n)
+        key = np.concatenate(keys)
+        if n * len(texts) <= TABLE:
+            count = np.bincount(key)
+            key = np.flatnonzero(count)
+            tf = count[key]
+        else:
+            key, tf = np.unique(key, return_counts=True)
+        return key // n, key % n, tf, total, distinct
 
 
 @lru_cache(1 << 16)

@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
+from ..functions import batch, scalar
 from ..functions import text as T
-from .tokens import each, tokenized
+from .tokens import each, small_batches, tokenized
 
 K1, B = 1.2, 0.75
 #: Terms of a query up to which they are a literal list and their frequencies are gathered on the driver.
@@ -32,16 +32,18 @@ class Corpus:
 
     ``base`` has doc_id and tokens, an array of strings or, if weighted, of
     (token, weight).  Nothing is computed until a result is asked for; cache
-    ``base`` to reuse it, or save the postings.
+    ``base`` to reuse it, or save the postings.  ``texts``, if given, has
+    (doc_id, text) of the same rows; queries of known terms then count them
+    straight from the texts, without lists of all tokens.
     """
 
-    def __init__(self, base: DataFrame, weighted: bool = False):
-        self.base, self.weighted = base, weighted
+    def __init__(self, base: DataFrame, weighted: bool = False, texts: DataFrame | None = None):
+        self.base, self.weighted, self.texts = base, weighted, texts
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Corpus:
-        rows = tokenized(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
-        return cls(rows.select("doc_id", "words", F.concat("words", "grams").alias("tokens")))
+        texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+        return cls(tokenized(texts).select("doc_id", "words", F.concat("words", "grams").alias("tokens")), texts=texts)
 
     @classmethod
     def build_weighted(cls, df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Corpus:
@@ -116,6 +118,8 @@ class Corpus:
         if len(best) > LITERAL_TERMS:
             query_rows = self.base.sparkSession.createDataFrame(sorted(best.items()), _QUERY)
             return self._scored(self.postings(), query_rows, self.docs())
+        if self.texts is not None:
+            return self._text_scores(best)
         name = (lambda t: t["token"]) if self.weighted else (lambda t: t)
         hits = F.filter("tokens", lambda t: name(t).isin(*sorted(best)) if best else F.lit(False))
         rows = self.base.select("doc_id", F.size("tokens").cast("double").alias("dl"), hits.alias("hits"))
@@ -124,6 +128,24 @@ class Corpus:
         score = _scorer(idf, avgdl, self.weighted)
         return rows.select("doc_id", score(F.col("hits"), F.col("dl")).alias("score"))
 
+    def _text_scores(self, best: dict[str, float]) -> DataFrame:
+        names = sorted(best)
+        terms = batch.Terms(names)
+        n, avgdl, df = _text_stats(self.texts, terms)
+        worth = np.log((n - df + 0.5) / (df + 0.5) + 1.0) * np.array([best[t] for t in names], float)
+        kind = self.texts.schema["doc_id"].dataType.simpleString()
+
+        def run(batches):
+            for b in batches:
+                score = np.zeros(b.num_rows)
+                for at, texts in batch.chunks(b.column("text")):
+                    text, term, tf, total, _ = terms.found(texts)
+                    part = worth[term] * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * total[text] / (avgdl or 1.0)))
+                    score[at : at + len(texts)] = np.bincount(text, weights=part, minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+
+        return self.texts.mapInArrow(run, f"doc_id {kind}, score double")
+
     def _counted(self, rows: DataFrame) -> DataFrame:
         tf = F.sum("t.weight") if self.weighted else F.count("*").cast("double")
         return rows.groupBy("doc_id", "dl", (F.col("t.token") if self.weighted else F.col("t")).alias("term")).agg(tf.alias("tf")).select("doc_id", "term", "tf", "dl")
@@ -155,48 +177,65 @@ class Corpus:
         asked = tokenized(queries.select(F.col(f"`{id_col}`").alias("query_id"), F.col(f"`{text}`").alias("text")))
         terms = each(asked, F.array_distinct(F.concat("words", "grams")), "term", "query_id").distinct()
         vocabulary = [r["term"] for r in terms.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
-        if len(vocabulary) > LITERAL_TERMS or self.weighted:
+        if len(vocabulary) > LITERAL_TERMS or self.texts is None:
             scores = self.bm25_batch(queries, id_col, text)
             return top(scores if digits is None else scores.withColumn("score", F.round("score", digits)), k, by="query_id")
-        rows = self.base.select("doc_id", F.size("tokens").cast("double").alias("dl"), F.filter("tokens", lambda t: t.isin(*vocabulary) if vocabulary else F.lit(False)).alias("hits"))
-        n, avgdl, df = _gathered(rows, lambda t: t)
-        pairs = terms.where(F.col("term").isin(*df) if df else F.lit(False)).toArrow()
+        vocabulary.sort()
+        wanted = batch.Terms(vocabulary)
+        n, avgdl, df = _text_stats(self.texts, wanted)
+        pairs = terms.toArrow()
         ids = pairs.column("query_id").combine_chunks().unique()
-        number = {t: i for i, t in enumerate(df)}
-        query = np.asarray(pairs.column("query_id").combine_chunks().dictionary_encode().indices).astype(np.int64)
+        number = {t: i for i, t in enumerate(vocabulary)}
+        query = np.asarray(pairs.column("query_id").combine_chunks().dictionary_encode("encode").indices).astype(np.int64)
         term = np.array([number[t] for t in pairs.column("term").to_pylist()], np.int64)
         order = np.argsort(term, kind="stable")
         query, first = query[order], np.searchsorted(term[order], np.arange(len(number) + 1))
-        idf = np.log((n - np.array(list(df.values()), float) + 0.5) / (np.array(list(df.values()), float) + 0.5) + 1.0)
-        shared = self.base.sparkSession.sparkContext.broadcast((number, query, first, idf))
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
         n_queries = len(ids)
+        n_terms, dense = wanted.n, wanted.n * n_queries <= 1 << 22
+        shared = self.base.sparkSession.sparkContext.broadcast((wanted, query, first, idf))
+        kind = self.texts.schema["doc_id"].dataType.simpleString()
+        names = ["q", "doc_id", "score"]
+
+        def first_ones(found: pa.Table) -> pa.Table:
+            order = pc.sort_indices(found, sort_keys=[("q", "ascending"), ("score", "descending"), ("doc_id", "ascending")], null_placement="at_start")
+            q = np.asarray(found.column("q"))[order]
+            return found.take(order.take(pa.array(np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < k))))
 
         def run(batches):
-            number, query, first, idf = shared.value
+            wanted, query, first, idf = shared.value
+            if dense:
+                asks = np.zeros((n_terms, n_queries))
+                asks[np.repeat(np.arange(n_terms), np.diff(first)), query] = 1.0
+            found, waiting = [], 0
             for b in batches:
-                doc, term, tf = _term_counts(b.column("hits"))
-                if not len(doc):
-                    continue
-                names, term = term
-                term = np.array([number[t] for t in names], np.int64)[term]
-                length = b.column("dl").to_numpy()[doc]
-                part = idf[term] * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * length / (avgdl or 1.0)))
-                size = first[term + 1] - first[term]
-                at = np.repeat(first[term], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                cell = np.repeat(doc, size) * n_queries + query[at]
-                score = np.bincount(cell, weights=np.repeat(part, size), minlength=b.num_rows * n_queries).reshape(-1, n_queries)
-                score = score if digits is None else np.round(score, digits)
-                by_id = np.asarray(pc.sort_indices(b.column("doc_id")))
-                best = by_id[np.argsort(-score[by_id], axis=0, kind="stable")[:k]]
-                value = np.take_along_axis(score, best, 0)
-                some = np.zeros((b.num_rows, n_queries), bool)
-                some.reshape(-1)[cell] = True
-                keep = np.take_along_axis(some, best, 0)
-                q = np.broadcast_to(np.arange(n_queries), best.shape)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(q), b.column("doc_id").take(pa.array(best[keep])), pa.array(value[keep])], names=["q", "doc_id", "score"])
-
-        kind = rows.schema["doc_id"].dataType.simpleString()
-        found = rows.mapInArrow(run, f"q long, doc_id {kind}, score double")
+                for at, texts in batch.chunks(b.column("text")):
+                    text, term, tf, total, _ = wanted.found(texts)
+                    part = idf[term] * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * total[text] / (avgdl or 1.0)))
+                    # a few texts at a time, so that a row for each of their queries fits
+                    for lo in range(0, len(texts), step := max(1, (1 << 20) // max(n_queries, n_terms, 1))):
+                        some, rows = slice(*np.searchsorted(text, (lo, lo + step))), min(step, len(texts) - lo)
+                        if dense:
+                            parts = np.zeros((rows, n_terms))
+                            parts[text[some] - lo, term[some]] = part[some]
+                            score = parts @ asks
+                        else:
+                            t, size = term[some], first[term[some] + 1] - first[term[some]]
+                            place = np.repeat(first[t], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                            score = np.bincount(np.repeat(text[some] - lo, size) * n_queries + query[place], weights=np.repeat(part[some], size), minlength=rows * n_queries).reshape(rows, n_queries)
+                        has = score > 0  # every part is
+                        score = score if digits is None else np.round(score, digits)
+                        least = np.partition(np.where(has, score, -np.inf), rows - max(k, 1), axis=0)[rows - max(k, 1)] if rows > k else np.full(n_queries, -np.inf)
+                        row, q = np.nonzero(has & (score >= least))
+                        found.append(pa.table([pa.array(q), b.column("doc_id").take(pa.array(at + lo + row)), pa.array(score[row, q])], names=names))
+                        waiting += len(q)
+                        if waiting > 1 << 18:
+                            found = [first_ones(pa.concat_tables(found))]
+                            waiting = 0
+            if found:
+                yield from first_ones(pa.concat_tables(found)).to_batches(1 << 16)
+
+        found = self.texts.mapInArrow(run, f"q long, doc_id {kind}, score double")
         named = self.base.sparkSession.createDataFrame(pa.table({"q": pa.array(np.arange(n_queries)), "query_id": ids}))
         return top(found, k, by="q").join(F.broadcast(named), "q").select("query_id", "doc_id", "score")
 
@@ -207,6 +246,29 @@ class Corpus:
         return self.stats().select("avgdl").scalar()
 
 
+def _text_stats(texts: DataFrame, terms: batch.Terms) -> tuple[int, float, np.ndarray]:
+    """The number of texts, their mean length in tokens, and in how many of them each term stands; a task sends its own sums."""
+    small_batches(texts)
+
+    def run(batches):
+        df, n, length = np.zeros(terms.n, np.int64), 0, 0
+        for b in batches:
+            for _, some in batch.chunks(b.column("text")):
+                _, term, _, total, _ = terms.found(some)
+                df += np.bincount(term, minlength=terms.n)
+                n, length = n + len(some), length + int(total.sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at])), pa.array(np.concatenate([[n], df[at]])), pa.array(np.concatenate([[length], 0 * at]))], names=["term", "n", "length"])
+
+    df, n, length = np.zeros(terms.n, np.int64), 0, 0
+    for r in texts.select("text").mapInArrow(run, "term long, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect():
+        if r["term"] < 0:
+            n, length = r["n"], r["length"]
+        else:
+            df[r["term"]] = r["n"]
+    return n, length / max(n, 1), df
+
+
 def _gathered(rows: DataFrame, name) -> tuple[int, float, dict[str, int]]:
     """The number of documents, their mean length, and in how many each term of ``hits`` stands; one pass, pre-aggregated."""
     terms = F.array_distinct(F.transform("hits", name))
