@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 from . import constants as C
 from . import scalar
-from .text import _PLAIN
+from .text import _PLAIN, _fnv, gram_lists
 
 #: Characters of texts that are worked on at once, one text at least.
 CHUNK = 256 << 10
@@ -224,3 +224,42 @@ def edges(text: np.ndarray, word: np.ndarray, n_words: int, window: int) -> tupl
     key, back = np.unique(np.concatenate(keys), return_inverse=True)
     w = np.bincount(back, weights=np.concatenate(weights), minlength=len(key))
     return key // square, key % square // max(n_words, 1), key % max(n_words, 1), w
+
+
+def content_hashes(texts: list[str]) -> list[str]:
+    """``scalar.content_hash`` of each text; the joined tokens don't leave the worker."""
+    import pandas as pd
+
+    if not texts:
+        return []
+    kinds = _kinds(texts)
+    grams = pc.binary_join(gram_lists(squashed(texts, kinds)), " ").to_pylist()
+    return _fnv(pd.Series([" ".join(filter(None, (" ".join(w), g))).encode("utf-8", "surrogatepass") for w, g in zip(word_lists(texts, kinds), grams)])).tolist()
+
+
+class GramTotals:
+    """How often each trigram stands in all texts so far."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, texts: list[str]) -> None:
+        grams = Grams(texts)
+        if grams.a**3 <= TABLE:
+            count = np.bincount(grams.gram)
+            some = np.flatnonzero(count)
+            count = count[some]
+        else:
+            some, count = np.unique(grams.gram, return_counts=True)
+        self.parts.append((grams.code(some), count))
+        self.waiting += len(some)
+        if self.waiting > 1 << 20:
+            self.parts, self.waiting = [self.all()], 0
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        code, count = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([p[k] for p in self.parts] for k in (0, 1)))
+        code, back = np.unique(code, return_inverse=True)
+        total = np.zeros(len(code), np.int64)
+        np.add.at(total, back, count)
+        return code, total

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch
 from ..functions import text as T
 
 #: Most bytes of texts that go to a Python worker at once; their trigrams are many times as large.
@@ -59,3 +61,19 @@ def each(df: DataFrame, array: Column, name: str, *keep: Column | str) -> DataFr
     computes the array, here all the tokenizing, a second time.
     """
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def gram_totals(df: DataFrame, text: str = "text") -> DataFrame:
+    """(g, n): each different trigram, as a number, and how often it stands in all texts; a task sends its own sums."""
+    small_batches(df)
+
+    def run(batches):
+        totals = batch.GramTotals()
+        for b in batches:
+            for _, texts in batch.chunks(b.column(0)):
+                totals.add(texts)
+        code, n = totals.all()
+        for i in range(0, len(code), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(code[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["g", "n"])
+
+    return df.select(T.text_of(F.col(f"`{text}`")).alias("text")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))

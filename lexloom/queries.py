@@ -15,7 +15,7 @@ from .operators import keywords as K
 from .operators import similarity as S
 from .operators import training as M
 from .operators.corpus import Corpus, top
-from .operators.tokens import each, normalized, tokenized, with_tokens
+from .operators.tokens import each, gram_totals, normalized, tokenized, with_tokens
 
 #: A query's text, for the ranked retrieval queries.
 ASK = "Licensed under the Apache License, Version 2.0 and the thereof"
@@ -115,9 +115,7 @@ def char_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WG} SELECT count(*) AS n, count(DISTINCT g) AS n_distinct FROM (SELECT unnest(grams) AS g FROM w)")
 def trigram_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = each(tokenized(_docs(spark, sf_dir), parts=("grams",)), F.col("grams"), "g")
-    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
-    return counts.agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
+    return gram_totals(_docs(spark, sf_dir)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("n_distinct"))
 
 
 def _ngram_sql(n: int) -> str:
