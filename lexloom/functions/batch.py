@@ -189,7 +189,7 @@ class Terms:
 
 
 @lru_cache(1 << 16)
-def _stopword(word: str) -> bool:
+def is_stopword(word: str) -> bool:
     return scalar.is_stopword(word)
 
 
@@ -198,7 +198,7 @@ def content_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     numbers: dict[str, int] = {}
     ids, sizes = [], []
     for w in word_lists(texts):
-        own = [numbers.setdefault(x, len(numbers)) for x in w if not _stopword(x)]
+        own = [numbers.setdefault(x, len(numbers)) for x in w if not is_stopword(x)]
         ids += own
         sizes.append(len(own))
     return np.repeat(np.arange(len(texts)), sizes), np.array(ids, np.int64), pa.array(list(numbers), pa.string())
